@@ -134,14 +134,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def cluster(narrow: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) of every fingerprint of ``narrow`` (id, fp); component_id is
-    the smallest id of all rows reachable over links (null if these are all null)."""
+    """(fp, root, component_id) of every fingerprint of ``narrow`` (id, fp); root is the
+    component's smallest fingerprint, component_id the smallest id of all rows reachable
+    over links (null if these are all null)."""
     own = cut(narrow.groupBy("fp").agg(F.min(id_col).alias("own")))
     found = cut(components(links(own.select("fp"), radius)).withColumnRenamed("node", "fp"))
     joined = found.join(own, "fp")
     least = joined.groupBy("root").agg(F.min("own").alias("least"))
-    linked = joined.join(least, "root").select("fp", "least")
-    return own.join(linked, "fp", "left").select("fp", F.coalesce("least", "own").alias("component_id"))
+    linked = joined.join(least, "root").select("fp", "root", "least")
+    name = F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("least"))
+    return own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), name.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -163,10 +165,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     # The rows that go are named by id and fingerprint; of rows that agree in both, which is
     # rare, the extra ones are dropped by a second, exact step only if there are any.
     ids = narrow.groupBy("id", "fp").agg(F.count("*").alias("n")).join(classes, "fp")
-    first = ids.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("first_fp"))
-    ids = ids.alias("i").join(first.alias("f"), F.expr("i.component_id <=> f.component_id"), "left").select("i.*", "first_fp")
+    first = ids.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("first_fp"))
     kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
-    ids = cut(ids.select("id", "fp", "n", kept.alias("kept")))
+    ids = cut(ids.join(first, "root").select("id", "fp", "n", kept.alias("kept")))
     gone = ids.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("fp").alias("__gone_fp"))
     out = marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__gone_fp")), "left_anti")
     if not ids.where("kept and n > 1").isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -58,6 +60,18 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(id_text(id_col)), F.lit(folds).cast("bigint"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices, so that what Python makes of one stays small; at the end
+    of a task freed memory goes back to the system, as workers live on from stage to stage."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    del batches
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blobs(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,7 +88,7 @@ def map_text(
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = rows(blobs(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(made[k], t) for k, t in fields.items())], [id_col, *fields]
@@ -92,7 +106,7 @@ def add_columns(
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = rows(blobs(batch.column(at)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(made[k], t) for k, t in fields.items())], [*names, *fields]

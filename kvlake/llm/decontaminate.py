@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, words_of
+from .common import blobs, sliced, words_of
 
 WINDOW = 10
 #: Benchmark text of one broadcast block; a block's hash set takes some 40 times that.
@@ -134,7 +134,7 @@ def find(
 
         def run(batches, held=held, first=number == 0, width=len(fields)):
             windows = held.value
-            for batch in batches:
+            for batch in sliced(batches):
                 counts, spans, items = [], [], []
                 for row, text in enumerate(blobs(batch.column(at))):
                     words = words_of(text)
@@ -180,7 +180,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", mode:
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             spans = batch.column(spans_at).to_pylist()
             texts, keep = batch.column(at).to_pylist(), []
             for row, s in enumerate(spans):

@@ -17,6 +17,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_text, sliced
+
 
 # Format, offset of the magic in the file, magic bytes.
 MAGIC = (
@@ -234,7 +236,7 @@ def inspect(df: DataFrame, id_col: str, media_col: str, declared_col: str | None
     item = [("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), *([("bytes", pa.binary())] if carve else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             media = batch.column(1).to_pylist()
             declared = batch.column(2).to_pylist() if declared_col else [None] * len(media)
             types, wrong, inside = [], [], []
@@ -258,8 +260,6 @@ def padded(text: bytes, unit: int = 64) -> bytes:
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every text, padded, as the samples of a WAVE file.  Null texts are empty."""
-    from .common import map_text
-
     def rows(texts: list[bytes]) -> dict[str, list]:
         return {"n_bytes": [len(t) for t in texts], "media": [wav(padded(t)) for t in texts]}
 
@@ -284,7 +284,7 @@ def features(media_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     id_type = dict(media_rows.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict[str, list] = {k: [] for k in FIELDS if k != "n_bytes"}
             for media in batch.column(2).to_pylist():
                 own, embedded = sniff(media)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blobs
+from .common import blobs, sliced
 
 CAPACITY = 2048
 CLASSES = 64
@@ -47,7 +47,7 @@ class Encoder:
     Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, keep: int = 400_000, longest: int = 48):
+    def __init__(self, ranks_path: str, pattern: str, keep: int = 120_000, longest: int = 48):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -201,8 +201,8 @@ def pack(
             if len(placed) <= limit:
                 return
             while placed:
-                part = placed[:20_000]
-                del placed[:20_000]
+                part = placed[:1000]
+                del placed[:1000]
                 pieces = [memoryview(p[0][1])[4 * p[1] : 4 * (p[1] + p[2])] for p in part]
                 columns = [
                     pa.array([p[0][0] for p in part], kind),
@@ -224,12 +224,12 @@ def pack(
 
         end = end_id.to_bytes(4, "little")
         placed: list = []
-        for batch in batches:
+        for batch in sliced(batches):
             kind = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), blobs(batch.column(1)), strict=True):
                 ids = encode(text.decode("utf-8", "replace")) + end if text else end
                 placed += packer.add((key, ids), len(ids) // 4)
-                yield from out(placed, 10_000)
+                yield from out(placed, 1000)
         placed += packer.finish()
         yield from out(placed)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -80,11 +81,20 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of a local session import this package from wherever the driver did."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+
+
 def map_text(
     df: DataFrame, id_col: str, text_col: str, rows: Callable[[list[bytes]], dict[str, list]], fields: dict[str, pa.DataType], ddl: str
 ) -> DataFrame:
     """One output row per input row: the id and what ``rows`` makes of a batch's
     texts.  No shuffle; a batch at a time is in memory."""
+    importable(df.sparkSession)
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +111,7 @@ def add_columns(
     df: DataFrame, text_col: str, rows: Callable[[list[bytes]], dict[str, list]], fields: dict[str, pa.DataType], ddl: str
 ) -> DataFrame:
     """All columns of ``df`` and those that ``rows`` makes; ``fields`` must not clash."""
+    importable(df.sparkSession)
     at = df.columns.index(text_col)
     names = df.columns
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

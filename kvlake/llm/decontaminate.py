@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, sliced, words_of
+from .common import blobs, importable, sliced, words_of
 
 WINDOW = 10
 #: Benchmark text of one broadcast block; a block's hash set takes some 40 times that.
@@ -122,6 +122,7 @@ def find(
     A null or empty text has no words; a null item id is the empty id; an item
     without words, or an empty benchmark, hits nothing.  Repeated rows are kept.
     """
+    importable(docs.sparkSession)
     names = [prefix + x for x in ("words", "spans", "items")]
     fields = [f for f in docs.schema.fields if f.name not in names]
     docs = docs.select(*(f.name for f in fields))

@@ -17,7 +17,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_text, sliced
+from .common import importable, map_text, sliced
 
 
 # Format, offset of the magic in the file, magic bytes.
@@ -231,6 +231,7 @@ def inspect(df: DataFrame, id_col: str, media_col: str, declared_col: str | None
 
     Null media have no type of their own and nothing embedded; null ids and repeated rows are kept.
     """
+    importable(df.sparkSession)
     id_type = dict(df.dtypes)[id_col]
     names = [id_col, media_col, *([declared_col] if declared_col else [])]
     item = [("type", pa.string()), ("start", pa.int64()), ("length", pa.int64()), *([("bytes", pa.binary())] if carve else [])]
@@ -281,6 +282,7 @@ DDL = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 b
 
 def features(media_rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Digests and features of stored texts (id, n_bytes, media), read back from the media bytes."""
+    importable(media_rows.sparkSession)
     id_type = dict(media_rows.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

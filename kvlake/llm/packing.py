@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import blobs, sliced
+from .common import blobs, importable, sliced
 
 CAPACITY = 2048
 CLASSES = 64
@@ -190,6 +190,7 @@ def pack(
     piece.  Repeated rows are packed each by itself, null ids stay null, other columns
     are ignored, an empty table has no pieces.
     """
+    importable(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,21 +33,26 @@ def _part(key: Column, at: int) -> Column:
     return F.conv(F.substring(F.md5(key), at, 8), 16, 10).cast("bigint")
 
 
-def positions(key: Column, bits: Column, hashes: Column) -> Column:
-    """The bit positions of a key: (h1 + i * h2) mod bits."""
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), hashes - 1), lambda i: F.pmod(_part(key, 1) + i * _part(key, 9), bits))
+def hashed(rows: DataFrame) -> DataFrame:
+    """Adds the two hashes of the key, once per row; a null key has none and no positions."""
+    return rows.withColumn("__h1", _part(F.col("key"), 1)).withColumn("__h2", _part(F.col("key"), 9))
+
+
+def positions(bits: Column, hashes: Column) -> Column:
+    """The bit positions of a hashed row: (h1 + i * h2) mod bits."""
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), hashes - 1), lambda i: F.pmod(F.col("__h1") + i * F.col("__h2"), bits))
 
 
 def build(keys: DataFrame, by: str, bits: str = "bits", hashes: str = "hashes") -> DataFrame:
     """(by, word, mask): the filters' words that are not zero."""
-    at = keys.select(by, F.explode(positions(F.col("key"), F.col(bits), F.col(hashes))).alias("at"))
+    at = hashed(keys).select(by, F.explode(positions(F.col(bits), F.col(hashes))).alias("at")).where("at is not null")
     mask = F.expr("shiftleft(1L, cast(at % 64 as int))")
     return at.select(by, F.floor(F.col("at") / 64).alias("word"), mask.alias("mask")).groupBy(by, "word").agg(F.bit_or("mask").alias("mask"))
 
 
 def might_contain(probes: DataFrame, filters: DataFrame, by: str, bits: str = "bits", hashes: str = "hashes") -> DataFrame:
     """``probes`` (by, key, bits, hashes) and whether the filter may hold the key; a null key is not held."""
-    at = probes.select(by, "key", F.explode(F.array_distinct(positions(F.col("key"), F.col(bits), F.col(hashes)))).alias("at"))
+    at = hashed(probes).select(by, "key", F.explode(F.array_distinct(positions(F.col(bits), F.col(hashes)))).alias("at"))
     at = at.withColumn("word", F.floor(F.col("at") / 64))
     hit = F.coalesce(F.expr("(mask & shiftleft(1L, cast(at % 64 as int))) != 0"), F.lit(False))
     return at.join(filters, [by, "word"], "left").groupBy(by, "key").agg(F.bool_and(hit).alias("maybe"))

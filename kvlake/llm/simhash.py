@@ -14,23 +14,38 @@ radius 2 two of them share a fingerprint at distance one or less from both, and
 most 65 fingerprints lie within distance one of any; no bucket is ever compared pair
 by pair beyond that bound.  Components come from alternating star contractions over
 links, in checkpointed rounds.
+
+A pair of texts whose word shingles have a Jaccard similarity of 0.8 differs in some ten of
+the 64 bits, beyond any radius that has few tables.  For such pairs ``keep_one_similar``
+takes several fingerprints of every text's set of words, which a few edits change less, and
+the covering tables of each: a pair need be within the radius in one of them.  All
+candidates are then verified by their shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, add_columns, cut
+from .common import LOWER_BYTES, add_columns, blobs, cut, importable, sliced
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 BUCKET = 16
 _BLOCK = 1 << 16
+#: Similar texts: shingle length, least similarity, and fingerprints of a text's set of words.
+SIMILAR_SHINGLE = 5
+SIMILARITY = 0.8
+PRINTS = 8
+#: Rows of (node, key) that may be broadcast, 16 bytes or so each; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -173,3 +188,173 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     if not ids.where("kept and n > 1").isEmpty():
         out = out.dropDuplicates([id_col, "__fp"])
     return out.select(*docs.columns)
+
+
+class WordBits:
+    """The bits that a word adds to every fingerprint; what is known is kept, within a bound."""
+
+    def __init__(self, prints: int = PRINTS, keep: int = 1 << 15):
+        self.size, self.keep = 8 * prints, keep
+        self.known: dict[bytes, int] = {}
+        self.bits = np.zeros((keep, 64 * prints), dtype=np.uint8)
+
+    def _of(self, word: bytes) -> np.ndarray:
+        digest = hashlib.shake_128(word).digest(self.size)
+        return np.unpackbits(np.frombuffer(digest, dtype=np.uint8), bitorder="little")
+
+    def prints(self, words: set[bytes]) -> list[int]:
+        """The majority of the words' bits, 64 at a time, signed."""
+        counts, rows, known = np.zeros(8 * self.size, dtype=np.int64), [], self.known
+        for word in words:
+            row = known.get(word)
+            if row is None:
+                bits = self._of(word)
+                if len(known) == self.keep or len(word) > 64:
+                    counts += bits
+                    continue
+                row = known[word] = len(known)
+                self.bits[row] = bits
+            rows.append(row)
+        for i in range(0, len(rows), 1024):
+            counts += self.bits[rows[i : i + 1024]].sum(axis=0, dtype=np.int64)
+        return np.packbits(counts * 2 > len(words), bitorder="little").view("<i8").tolist()
+
+
+def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> list[int]:
+    """The distinct hashes of word shingles, signed; fewer words are one shingle, none have none."""
+    if not words:
+        return []
+    join = b" ".join
+    every = {xxhash.xxh64_intdigest(join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
+    return [_signed(x) for x in every]
+
+
+_word_bits: dict[int, WordBits] = {}
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str, prints: int) -> DataFrame:
+    """(id, th, digest, prints) of every row: a hash of the text, a digest of its words, its fingerprints."""
+    importable(docs.sparkSession)
+    id_type = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _word_bits.setdefault(prints, WordBits(prints))
+        for batch in sliced(batches):
+            digests, found = [], []
+            for text in blobs(batch.column(2)):
+                words = text.translate(LOWER_BYTES).split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                found.append(own.prints(set(words)))
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "digest", "prints"])
+
+    th = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    rows = docs.select(F.col(id_col).alias("id"), th.alias("th"), text_col)
+    return rows.mapInArrow(run, f"id {id_type}, th bigint, digest binary, prints array<bigint>")
+
+
+def _candidates(nodes: DataFrame, prints: int, bucket: int) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes that are within the radius in some fingerprint.
+
+    Buckets of up to ``bucket`` nodes are compared inside a row.  The nodes of larger ones
+    are gathered by every fingerprint at distance one or less from theirs, where any pair
+    within the radius meets; up to 64 are paired there, of more (equal word sets in other
+    orders) each is paired with the first.
+    """
+    tables = F.array(*(
+        F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.lit(t), F.col("prints")[k].bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col("prints")[k].alias("fp"))
+        for k in range(prints) for t, m in enumerate(covering_masks(RADIUS))
+    ))
+    placed = nodes.select("node", F.explode(tables).alias("at")).select("node", "at.k", "at.key", "at.fp")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = cut(placed.join(sizes, "key"))
+    pairs = """flatten(transform(m, a -> transform(filter(m, b -> a.node < b.node and bit_count(a.fp ^ b.fp) <= {}), b -> struct(a.node as a, b.node as b))))"""
+    gathered = F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m")
+    small = members.where(F.col("n") <= bucket).groupBy("key").agg(gathered).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
+    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
+    near = members.where(F.col("n") > bucket).select("k", "node", "fp").distinct().select("node", "fp", F.explode(flips).alias("near"), "k")
+    counts = near.groupBy("k", "near").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
+    near = cut(near.join(counts, ["k", "near"]))
+    few = near.where("n <= 64").groupBy("k", "near").agg(gathered).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
+    many = near.where("n > 64 and first < node").select(F.struct(F.col("first").alias("a"), F.col("node").alias("b")).alias("p"))
+    return small.union(few).union(many).select("p.a", "p.b").distinct()
+
+
+def _shingles_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): the shingles of the documents that ``nodes`` (node, id, digest) names."""
+    if nodes.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
+    texts = docs.select(F.col(id_col).alias("id"), text_col).join(nodes.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            keep, sets = [], []
+            for row, (text, digest) in enumerate(zip(blobs(batch.column(0)), batch.column(2).to_pylist(), strict=True)):
+                words = text.translate(LOWER_BYTES).split()
+                # An id that several texts have brings them all; the digest tells them apart.
+                if xxhash.xxh3_128_digest(b" ".join(words)) == digest:
+                    keep.append(row)
+                    sets.append(shingle_set(words))
+            nodes = batch.column(1).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    return texts.select(text_col, "node", "digest").mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingles have a Jaccard similarity of ``least``."""
+    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+    sizes = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    enough = common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9
+    return cut(pairs.join(a, "a").join(b, "b").where(sizes & enough).select("a", "b"))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, prints: int = PRINTS, bucket: int = BUCKET):
+    """(rows, classes): (id, th, node) of every row, and (node, root, component_id) of every node.
+
+    A node is a sequence of words, lower-cased; nodes with ``least`` of their shingles in
+    common are linked where a fingerprint brought them together.  What is verified goes in
+    two steps: each node with the first of its candidates, then only pairs that are not
+    connected yet, so a dense group costs few comparisons.
+    """
+    rows = cut(_sketches(docs, id_col, text_col, prints))
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.min("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id())
+    nodes = cut(nodes)
+    pairs = cut(_candidates(nodes, prints, bucket))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = cut(_shingles_of(docs, cut(nodes.join(ends, "node").select("node", F.col("own").alias("id"), "digest")), id_col, text_col))
+    links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least)
+    found = cut(components(links))
+    of = lambda name: found.select(F.col("node").alias(name), F.col("root").alias("root_" + name))
+    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
+    more = _verified(left, sets, least)
+    if not more.isEmpty():
+        found = cut(components(links.union(more)))
+    classes = nodes.select("node", "own", "digest").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = classes.groupBy("root").agg(F.min("own").alias("component_id"))
+    classes = cut(classes.join(smallest, "root").select("node", "digest", "root", "component_id"))
+    return rows.join(classes, "digest").select("id", "th", "node", "root", "component_id"), classes
+
+
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
+    """``docs`` with one row of every group of similar texts: the one with the smallest id.
+
+    Texts are similar if ``least`` of their five-word shingles are the same; equal word
+    sequences, those without words among them, are one group.  Null texts count as empty; a
+    null id stays only if its group has no other; repeated rows go but one; columns stay.
+    """
+    rows, _ = similar_classes(docs, id_col, text_col, least, prints)
+    named = F.col("id").eqNullSafe(F.col("component_id"))
+    ids = rows.groupBy("id", "th", "root", "component_id").agg(F.count("*").alias("n"))
+    # Of rows that agree in id and group but not in text, the one with the smallest hash stays.
+    first = ids.where(named).groupBy("root").agg(F.min("th").alias("first"))
+    ids = cut(ids.join(first, "root").select("id", "th", "n", (named & (F.col("th") == F.col("first"))).alias("kept")))
+    gone = ids.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("th").alias("__gone"))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    marked = docs.withColumn("__th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    out = marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone")), "left_anti")
+    if not ids.where("kept and n > 1").isEmpty():
+        out = out.dropDuplicates([id_col, "__th"])
+    return out.select(*docs.columns)

@@ -51,6 +51,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key of more rows than this, and than its share of all rows over ``HOT_KEYS``, is hot; so there are at most that many.
+HOT_ROWS = 1000
+HOT_KEYS = 4096
+
+
+def join_spread(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``many`` joined with ``one``, which is materialised and has a row per key and in ``n`` how
+    many rows of ``many`` the key has (dropped here); ``total`` bounds their sum.
+
+    The rows of hot keys stay where they are and meet the few rows of ``one`` by a broadcast,
+    so no task has to read all rows of a key.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    hot = one.where(F.col(n) > limit).drop(n)
+    if hot.isEmpty():
+        return many.join(one.drop(n), key)
+    rest = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col(n) <= limit).drop(n), key)
+    return many.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def id_text(id_col: str) -> Column:
     """The id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, add_columns, blobs, cut, importable, sliced
+from .common import LOWER_BYTES, add_columns, blobs, cut, importable, join_spread, sliced
 
 SEED = 42
 SHINGLE = 3
@@ -136,10 +136,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         mark = now
         both = state.select(F.col("root").alias("u"), F.col("node").alias("v")).union(state.select("node", "root"))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("root"), F.col("v").alias("node")).where("root < node").distinct()
-        least = large.groupBy("node").agg(F.min("root").alias("m"))
-        small = large.join(least, "node").select(
+        least = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n")))
+        large = join_spread(both, least, "u", "n", 2 * now["n"]).where("v > u").select(F.col("m").alias("root"), F.col("v").alias("node")).where("root < node")
+        large = cut(large.distinct())
+        least = cut(large.groupBy("node").agg(F.min("root").alias("m"), F.count("*").alias("n")))
+        small = join_spread(large, least, "node", "n", 2 * now["n"]).select(
             F.explode(F.array(F.struct(F.col("m").alias("root"), "node"), F.struct(F.col("m").alias("root"), F.col("root").alias("node")))).alias("e")
         )
         state = cut(small.select("e.root", "e.node").where("root < node").distinct())
@@ -149,16 +150,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def cluster(narrow: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint of ``narrow`` (id, fp); root is the
-    component's smallest fingerprint, component_id the smallest id of all rows reachable
-    over links (null if these are all null)."""
-    own = cut(narrow.groupBy("fp").agg(F.min(id_col).alias("own")))
+    """(fp, n, root, component_id) of every fingerprint of ``narrow`` (id, fp); n is its number of
+    rows, root the component's smallest fingerprint, component_id the smallest id of all rows
+    reachable over links (null if these are all null)."""
+    own = cut(narrow.groupBy("fp").agg(F.min(id_col).alias("own"), F.count("*").alias("n")))
     found = cut(components(links(own.select("fp"), radius)).withColumnRenamed("node", "fp"))
-    joined = found.join(own, "fp")
-    least = joined.groupBy("root").agg(F.min("own").alias("least"))
-    linked = joined.join(least, "root").select("fp", "root", "least")
+    joined = cut(found.join(own.drop("n"), "fp"))
+    least = cut(joined.groupBy("root").agg(F.min("own").alias("least"), F.count("*").alias("rows")))
+    linked = join_spread(joined, least, "root", "rows", joined.count()).select("fp", "root", "least")
     name = F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("least"))
-    return own.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), name.alias("component_id"))
+    return own.join(linked, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), name.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -169,14 +170,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no other; repeated rows stay; an empty table gives an empty result.
     """
     narrow = cut(with_fingerprint(docs.select(id_col, text_col), text_col, "fp", shingle).select(id_col, "fp"))
-    return narrow.join(cluster(narrow, id_col, radius), "fp").select(id_col, "fp", "component_id")
+    classes = cut(cluster(narrow, id_col, radius).drop("root"))
+    return join_spread(narrow, classes, "fp", "n", narrow.count()).select(id_col, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest id."""
     marked = with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text_col, "__fp", shingle)
     narrow = cut(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), "__row"))
-    classes = cluster(narrow, "id", radius)
+    classes = cluster(narrow, "id", radius).drop("n")
     # The rows that go are named by id and fingerprint; of rows that agree in both, which is
     # rare, the extra ones are dropped by a second, exact step only if there are any.
     ids = narrow.groupBy("id", "fp").agg(F.count("*").alias("n")).join(classes, "fp")
@@ -319,7 +321,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     connected yet, so a dense group costs few comparisons.
     """
     rows = cut(_sketches(docs, id_col, text_col, prints))
-    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.min("prints").alias("prints")).withColumn("node", F.monotonically_increasing_id())
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.min("prints").alias("prints"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes)
     pairs = cut(_candidates(nodes, prints, bucket))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -331,10 +333,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _verified(left, sets, least)
     if not more.isEmpty():
         found = cut(components(links.union(more)))
-    classes = nodes.select("node", "own", "digest").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = classes.groupBy("root").agg(F.min("own").alias("component_id"))
-    classes = cut(classes.join(smallest, "root").select("node", "digest", "root", "component_id"))
-    return rows.join(classes, "digest").select("id", "th", "node", "root", "component_id"), classes
+    classes = nodes.select("node", "own", "digest", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = cut(classes)
+    smallest = cut(classes.groupBy("root").agg(F.min("own").alias("component_id"), F.count("*").alias("n")))
+    classes = cut(join_spread(classes, smallest, "root", "n", classes.count()).select("node", "digest", "rows", "root", "component_id"))
+    every = join_spread(rows, classes, "digest", "rows", rows.count()).select("id", "th", "node", "root", "component_id")
+    return every, classes.drop("rows")
 
 
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
@@ -348,8 +352,10 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = F.col("id").eqNullSafe(F.col("component_id"))
     ids = rows.groupBy("id", "th", "root", "component_id").agg(F.count("*").alias("n"))
     # Of rows that agree in id and group but not in text, the one with the smallest hash stays.
-    first = ids.where(named).groupBy("root").agg(F.min("th").alias("first"))
-    ids = cut(ids.join(first, "root").select("id", "th", "n", (named & (F.col("th") == F.col("first"))).alias("kept")))
+    ids = cut(ids)
+    th = F.min(F.when(named, F.col("th")))
+    first = cut(ids.groupBy("root").agg(th.alias("first"), F.count("*").alias("rows")))
+    ids = cut(join_spread(ids, first, "root", "rows", ids.count()).select("id", "th", "n", (named & (F.col("th") == F.col("first"))).alias("kept")))
     gone = ids.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("th").alias("__gone"))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)

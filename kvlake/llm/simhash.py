@@ -44,6 +44,8 @@ _BLOCK = 1 << 16
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 PRINTS = 8
+#: Nodes of an equal fingerprint that are all compared, in a large bucket.
+EQUAL = 64
 #: Rows of (node, key) that may be broadcast, 16 bytes or so each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -258,10 +260,11 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, prints: int) -> DataF
 def _candidates(nodes: DataFrame, prints: int, bucket: int) -> DataFrame:
     """Pairs (a, b), a < b, of nodes that are within the radius in some fingerprint.
 
-    Buckets of up to ``bucket`` nodes are compared inside a row.  The nodes of larger ones
-    are gathered by every fingerprint at distance one or less from theirs, where any pair
-    within the radius meets; up to 64 are paired there, of more (equal word sets in other
-    orders) each is paired with the first.
+    Buckets of up to ``bucket`` nodes are compared inside a row.  The fingerprints of larger
+    ones are gathered by every fingerprint at distance one or less from theirs, where any pair
+    within the radius meets, and at most 65 do, with up to ``EQUAL`` nodes each.  Of more
+    nodes with an equal fingerprint there each is paired with the first and the last of
+    them, and these two stand for them in the other pairs.
     """
     tables = F.array(*(
         F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.lit(t), F.col("prints")[k].bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col("prints")[k].alias("fp"))
@@ -273,13 +276,20 @@ def _candidates(nodes: DataFrame, prints: int, bucket: int) -> DataFrame:
     pairs = """flatten(transform(m, a -> transform(filter(m, b -> a.node < b.node and bit_count(a.fp ^ b.fp) <= {}), b -> struct(a.node as a, b.node as b))))"""
     gathered = F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m")
     small = members.where(F.col("n") <= bucket).groupBy("key").agg(gathered).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    near = members.where(F.col("n") > bucket).select("k", "node", "fp").distinct().select("node", "fp", F.explode(flips).alias("near"), "k")
-    counts = near.groupBy("k", "near").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    near = cut(near.join(counts, ["k", "near"]))
-    few = near.where("n <= 64").groupBy("k", "near").agg(gathered).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
-    many = near.where("n > 64 and first < node").select(F.struct(F.col("first").alias("a"), F.col("node").alias("b")).alias("p"))
-    return small.union(few).union(many).select("p.a", "p.b").distinct()
+    # Larger buckets: by fingerprint.
+    large = cut(members.where(F.col("n") > bucket).select(F.struct("k", "fp").alias("at"), "node").distinct())
+    ends = cut(large.groupBy("at").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("n")))
+    tagged = cut(join_spread(large, ends.withColumn("size", F.col("n")), "at", "n", large.count()))
+    same = tagged.where(F.col("size") > EQUAL)
+    same = same.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("last").alias("b")))).alias("p"))
+    held = tagged.where(F.col("size") <= EQUAL).groupBy("at").agg(F.collect_list("node").alias("nodes"))
+    held = held.union(ends.where(F.col("n") > EQUAL).select("at", F.array("first", "last")))
+    flips = F.array(F.col("at.fp"), *(F.col("at.fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
+    entry = F.struct("nodes", F.col("at.fp").alias("fp"))
+    near = held.select(F.col("at.k").alias("k"), F.explode(flips).alias("near"), entry.alias("e")).groupBy("k", "near").agg(F.collect_list("e").alias("e"))
+    each = F.expr("flatten(transform(e, x -> transform(x.nodes, v -> struct(v as node, x.fp as fp))))").alias("m")
+    few = near.select(each).where(F.size("m") > 1).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
+    return small.union(few).union(same).select("p.a", "p.b").where("a < b").distinct()
 
 
 def _shingles_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 import corpus_pipeline
 import pytest
 
-from kvlake.llm import decontaminate, secret_scan, simhash
+from kvlake.llm import common, decontaminate, secret_scan, simhash
 
 D = "/root/testdata/sf0.001"
 
@@ -82,3 +82,12 @@ def test_odd_rows_pass_through(spark, tmp_path):
         assert stage(spark, docs.limit(0), D).count() == 0
     assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.near_duplicate_stage(spark, docs, D).collect()) == [1, 3]
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+def test_hot_keys_are_joined_like_any_other(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    many = spark.createDataFrame([(k, i) for k, n in ((1, 9), (2, 2), (3, 5)) for i in range(n)], "k bigint, i bigint")
+    one = spark.createDataFrame([(1, 9, "a"), (2, 2, "b"), (3, 5, "c"), (4, 0, "d")], "k bigint, n bigint, name string")
+    got = common.join_spread(many, one, "k", "n", 16)
+    assert got.columns == ["k", "i", "name"]
+    assert sorted(got.collect()) == sorted(many.join(one.drop("n"), "k").collect())

@@ -18,8 +18,10 @@ links, in checkpointed rounds.
 A pair of texts whose word shingles have a Jaccard similarity of 0.8 differs in some ten of
 the 64 bits, beyond any radius that has few tables.  For such pairs ``keep_one_similar``
 takes several fingerprints of every text's set of words, which a few edits change less, and
-the covering tables of each: a pair need be within the radius in one of them.  All
-candidates are then verified by their shingles.
+the covering tables of each: a pair need be within the radius in one of them.  In buckets of
+few texts those beyond the radius are candidates too: of the pairs one bit beyond it, half
+share a bucket, and fewer of those further apart.  All candidates are then verified by
+their shingles.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ _BLOCK = 1 << 16
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
 PRINTS = 8
+#: In a bucket of few texts, those are compared whose fingerprints differ in this many bits at most.
+NEAR = 8
 #: Rows of (node, key) that may be broadcast, 16 bytes or so each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -256,9 +260,10 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, prints: int) -> DataF
 
 
 def _candidates(nodes: DataFrame, prints: int, bucket: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes that are within the radius in some fingerprint.
+    """Pairs (a, b), a < b, of nodes: all that are within the radius in some fingerprint, but as said below.
 
-    Buckets of up to ``bucket`` nodes are compared inside a row.  The nodes of larger ones
+    Buckets of up to ``bucket`` nodes are compared inside a row, and give those that differ
+    in up to ``NEAR`` bits.  The nodes of larger ones
     are gathered by every fingerprint at distance one or less from theirs, where any pair
     within the radius meets; up to 64 are paired there, of more (equal word sets in other
     orders) each is paired with the first.
@@ -272,7 +277,7 @@ def _candidates(nodes: DataFrame, prints: int, bucket: int) -> DataFrame:
     members = cut(placed.join(sizes, "key"))
     pairs = """flatten(transform(m, a -> transform(filter(m, b -> a.node < b.node and bit_count(a.fp ^ b.fp) <= {}), b -> struct(a.node as a, b.node as b))))"""
     gathered = F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m")
-    small = members.where(F.col("n") <= bucket).groupBy("key").agg(gathered).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
+    small = members.where(F.col("n") <= bucket).groupBy("key").agg(gathered).select(F.explode(F.expr(pairs.format(NEAR))).alias("p"))
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
     near = members.where(F.col("n") > bucket).select("k", "node", "fp").distinct().select("node", "fp", F.explode(flips).alias("near"), "k")
     counts = near.groupBy("k", "near").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")

@@ -16,23 +16,22 @@ by pair beyond that bound.  Components come from alternating star contractions o
 links, in checkpointed rounds.
 
 A pair of texts whose word shingles have a Jaccard similarity of 0.8 differs in some ten of
-the 64 bits, beyond any radius that has few tables.  For such pairs ``keep_one_similar``
-takes several fingerprints of every text's set of words, which a few edits change less, and
-the covering tables of each: a pair need be within the radius in one of them.  In buckets of
-few texts those beyond the radius are candidates too: of the pairs one bit beyond it, half
-share a bucket, and fewer of those further apart.  All candidates are then verified by
-their shingles.
+the 64 bits, beyond any radius that has few tables.  ``keep_one_similar`` takes such pairs
+from the shingles themselves, by prefix filtering, which misses none: in one order of all
+shingles, two sets of that similarity have one in common among the first fifth of either.
+The order puts those last that a sample shows to be frequent; it changes how many texts
+meet at a shingle, never which pairs are found.  All candidates are verified.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, add_columns, blobs, cut, importable, join_spread, sliced
@@ -42,12 +41,16 @@ SHINGLE = 3
 RADIUS = 2
 BUCKET = 16
 _BLOCK = 1 << 16
-#: Similar texts: shingle length, least similarity, and fingerprints of a text's set of words.
+#: Similar texts: shingle length and least similarity.
 SIMILAR_SHINGLE = 5
 SIMILARITY = 0.8
-PRINTS = 8
-#: In a bucket of few texts, those are compared whose fingerprints differ in this many bits at most.
-NEAR = 8
+#: What orders the shingles: so many texts are sampled, and so many of their frequent shingles come last.
+SAMPLE_NODES = 8_000
+FREQUENT = 1 << 17
+#: Words of 64 bits that bound what two sets have in common.
+PARITY = 8
+#: Rounds that compare with one text a shingle before what is not connected is compared exhaustively.
+STARS = 3
 #: Rows of (node, key) that may be broadcast, 16 bytes or so each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -196,36 +199,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return out.select(*docs.columns)
 
 
-class WordBits:
-    """The bits that a word adds to every fingerprint; what is known is kept, within a bound."""
-
-    def __init__(self, prints: int = PRINTS, keep: int = 1 << 15):
-        self.size, self.keep = 8 * prints, keep
-        self.known: dict[bytes, int] = {}
-        self.bits = np.zeros((keep, 64 * prints), dtype=np.uint8)
-
-    def _of(self, word: bytes) -> np.ndarray:
-        digest = hashlib.shake_128(word).digest(self.size)
-        return np.unpackbits(np.frombuffer(digest, dtype=np.uint8), bitorder="little")
-
-    def prints(self, words: set[bytes]) -> list[int]:
-        """The majority of the words' bits, 64 at a time, signed."""
-        counts, rows, known = np.zeros(8 * self.size, dtype=np.int64), [], self.known
-        for word in words:
-            row = known.get(word)
-            if row is None:
-                bits = self._of(word)
-                if len(known) == self.keep or len(word) > 64:
-                    counts += bits
-                    continue
-                row = known[word] = len(known)
-                self.bits[row] = bits
-            rows.append(row)
-        for i in range(0, len(rows), 1024):
-            counts += self.bits[rows[i : i + 1024]].sum(axis=0, dtype=np.int64)
-        return np.packbits(counts * 2 > len(words), bitorder="little").view("<i8").tolist()
-
-
 def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> list[int]:
     """The distinct hashes of word shingles, signed; fewer words are one shingle, none have none."""
     if not words:
@@ -235,109 +208,168 @@ def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> list[int]
     return [_signed(x) for x in every]
 
 
-_word_bits: dict[int, WordBits] = {}
+def prefix_length(n: int, least: float) -> int:
+    """How many of a set's ``n`` shingles, the first in any common order, meet those of every similar set."""
+    return n - math.ceil(least * n - 1e-9) + 1
+
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """64 * ``PARITY`` bits, each the parity of how many shingles it has: two sets differ in no fewer shingles than bits."""
+    at = (shingles.view("<u8") >> np.uint64(20)) % np.uint64(64 * PARITY)
+    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, prints: int) -> DataFrame:
-    """(id, th, digest, prints) of every row: a hash of the text, a digest of its words, its fingerprints."""
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, digest) of every row: a hash of the text and a digest of its words."""
     importable(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _word_bits.setdefault(prints, WordBits(prints))
         for batch in sliced(batches):
-            digests, found = [], []
-            for text in blobs(batch.column(2)):
-                words = text.translate(LOWER_BYTES).split()
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                found.append(own.prints(set(words)))
-            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "th", "digest", "prints"])
+            digests = [xxhash.xxh3_128_digest(b" ".join(text.translate(LOWER_BYTES).split())) for text in blobs(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["id", "th", "digest"])
 
     th = F.xxhash64(F.coalesce(text_col, F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), th.alias("th"), text_col)
-    return rows.mapInArrow(run, f"id {id_type}, th bigint, digest binary, prints array<bigint>")
-
-
-def _candidates(nodes: DataFrame, prints: int, bucket: int) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes: all that are within the radius in some fingerprint, but as said below.
-
-    Buckets of up to ``bucket`` nodes are compared inside a row, and give those that differ
-    in up to ``NEAR`` bits.  The nodes of larger ones
-    are gathered by every fingerprint at distance one or less from theirs, where any pair
-    within the radius meets; up to 64 are paired there, of more (equal word sets in other
-    orders) each is paired with the first.
-    """
-    tables = F.array(*(
-        F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.lit(t), F.col("prints")[k].bitwiseAND(F.lit(_signed(m)))).alias("key"), F.col("prints")[k].alias("fp"))
-        for k in range(prints) for t, m in enumerate(covering_masks(RADIUS))
-    ))
-    placed = nodes.select("node", F.explode(tables).alias("at")).select("node", "at.k", "at.key", "at.fp")
-    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(placed.join(sizes, "key"))
-    pairs = """flatten(transform(m, a -> transform(filter(m, b -> a.node < b.node and bit_count(a.fp ^ b.fp) <= {}), b -> struct(a.node as a, b.node as b))))"""
-    gathered = F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("m")
-    small = members.where(F.col("n") <= bucket).groupBy("key").agg(gathered).select(F.explode(F.expr(pairs.format(NEAR))).alias("p"))
-    flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    near = members.where(F.col("n") > bucket).select("k", "node", "fp").distinct().select("node", "fp", F.explode(flips).alias("near"), "k")
-    counts = near.groupBy("k", "near").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    near = cut(near.join(counts, ["k", "near"]))
-    few = near.where("n <= 64").groupBy("k", "near").agg(gathered).select(F.explode(F.expr(pairs.format(RADIUS))).alias("p"))
-    many = near.where("n > 64 and first < node").select(F.struct(F.col("first").alias("a"), F.col("node").alias("b")).alias("p"))
-    return small.union(few).union(many).select("p.a", "p.b").distinct()
+    return rows.mapInArrow(run, f"id {id_type}, th bigint, digest binary")
 
 
-def _shingles_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): the shingles of the documents that ``nodes`` (node, id, digest) names."""
+def _of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, make: Callable[[list[int]], tuple], fields: dict[str, pa.DataType], ddl: str) -> DataFrame:
+    """(node, ``fields``): what ``make`` makes of the shingles of each document that ``nodes`` (node, id, digest) names."""
+    importable(docs.sparkSession)
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
     texts = docs.select(F.col(id_col).alias("id"), text_col).join(nodes.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            keep, sets = [], []
+            keep, made = [], []
             for row, (text, digest) in enumerate(zip(blobs(batch.column(0)), batch.column(2).to_pylist(), strict=True)):
                 words = text.translate(LOWER_BYTES).split()
                 # An id that several texts have brings them all; the digest tells them apart.
                 if xxhash.xxh3_128_digest(b" ".join(words)) == digest:
                     keep.append(row)
-                    sets.append(shingle_set(words))
+                    made.append(make(shingle_set(words)))
             nodes = batch.column(1).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            columns = (pa.array([m[i] for m in made], t) for i, t in enumerate(fields.values()))
+            yield pa.RecordBatch.from_arrays([nodes, *columns], ["node", *fields])
 
-    return texts.select(text_col, "node", "digest").mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"])
+    return texts.select(text_col, "node", "digest").mapInArrow(run, f"node bigint, {ddl}").dropDuplicates(["node"])
+
+
+def _shingles_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): the shingles of the documents that ``nodes`` (node, id, digest) names."""
+    return _of_nodes(docs, nodes, id_col, text_col, lambda s: (s,), {"set": pa.list_(pa.int64())}, "set array<bigint>")
+
+
+def _prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(node, n, bits, keys) of every node: how many shingles it has, their
+    parity, and the first of them, in one order for all nodes, that any similar set has one of."""
+    total = nodes.count()
+    share = int((1 << 30) * min(1.0, SAMPLE_NODES / max(1, total)))
+    sample = cut(nodes.where(F.pmod(F.xxhash64(F.lit(SEED), "digest"), F.lit(1 << 30)) < share))
+    counts = _shingles_of(docs, sample, id_col, text_col).select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    known, often = (top.column(c).to_numpy() for c in ("key", "n"))
+    by = np.argsort(known)
+    frequent = docs.sparkSession.sparkContext.broadcast((known[by], often[by]))
+
+    def make(found: list[int]) -> tuple:
+        own, (known, often) = np.array(found, dtype=np.int64), frequent.value
+        n = np.zeros(len(own), dtype=np.int64)
+        if len(known) and len(own):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            n = np.where(known[at] == own, often[at], 0)
+        first = own[np.lexsort((own, n))][: prefix_length(len(own), least)] if len(own) else own
+        return len(own), parity(own), first
+
+    fields = {"n": pa.int32(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
+    return _of_nodes(docs, nodes, id_col, text_col, make, fields, "n int, bits array<bigint>, keys array<bigint>")
+
+
+def _meetings(prefixes: DataFrame) -> DataFrame:
+    """(key, node, n, left, p0...) of every node and key of its prefix that another node has too;
+    left is how many of its shingles come after the key."""
+    placed = prefixes.select("node", "n", F.posexplode("keys").alias("at", "key"))
+    shared = placed.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1")
+    bits = prefixes.select("node", *(F.col("bits")[i].alias(f"p{i}") for i in range(PARITY)))
+    return shared.select("key", "node", "n", (F.col("n") - F.col("at") - 1).alias("left")).join(bits, "node")
+
+
+def _may_be_similar(a: str, b: str, least: float) -> Column:
+    """False only for rows ``a`` and ``b`` of a key whose sets are not similar, or have a smaller key in common:
+    by their sizes, by what follows the key, and by the parities in which they differ."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    sizes = F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
+    need = F.lit(least / (1 + least)) * (n + m) - 1e-6
+    differ = sum(F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY))
+    return sizes & (1 + F.least(F.col(f"{a}.left"), F.col(f"{b}.left")) >= need) & (n + m - differ >= 2 * need)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The ``pairs`` (a, b) whose shingles have a Jaccard similarity of ``least``."""
     a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    sizes = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y"))
+    sizes = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")) - 1e-9
     common = F.size(F.array_intersect("x", "y"))
     enough = common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9
     return cut(pairs.join(a, "a").join(b, "b").where(sizes & enough).select("a", "b"))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, prints: int = PRINTS, bucket: int = BUCKET):
+def _similar_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
+    """(node, root) of the ``nodes`` (node, id, digest) that are connected over similar pairs.
+
+    In ``STARS`` rounds at most the nodes of a key are compared with one of them, another one in each
+    round, so that a dense group is connected at little cost.  Then all pairs of a key that are not
+    connected are compared, so that none is missed.
+    """
+    met = cut(_meetings(cut(_prefixes(docs, nodes, id_col, text_col, least))))
+    ends = met.select("node").distinct()
+    sets = cut(_shingles_of(docs, cut(nodes.join(ends, "node")), id_col, text_col))
+    total = met.count()
+    links = found = None
+
+    def rooted() -> DataFrame:
+        if found is None:
+            return met.withColumn("root", F.col("node"))
+        return met.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    def connect(pairs: DataFrame) -> bool:
+        nonlocal links, found
+        more = _verified(cut(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()), sets, least)
+        if links is not None and more.isEmpty():
+            return False
+        links = more if links is None else links.union(more)
+        found = cut(components(links))
+        return not more.isEmpty()
+
+    for turn in range(STARS):
+        rows = cut(rooted())
+        row = F.struct(*(c for c in rows.columns if c != "key"))
+        first = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        one = rows.groupBy("key").agg(F.min_by(row, first).alias("b"), F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        one = cut(one.where("lo <> hi").select("key", "b", "rows"))
+        star = join_spread(rows.select("key", row.alias("a")), one, "key", "rows", total)
+        if not connect(star.where((F.col("a.root") != F.col("b.root")) & _may_be_similar("a", "b", least))):
+            break
+    rows = rooted()
+    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rows = cut(rows.join(open_keys, "key"))
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _may_be_similar("a", "b", least)
+    connect(rows.alias("a").join(rows.alias("b"), apart))
+    return found
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY):
     """(rows, classes): (id, th, node) of every row, and (node, root, component_id) of every node.
 
     A node is a sequence of words, lower-cased; nodes with ``least`` of their shingles in
-    common are linked where a fingerprint brought them together.  What is verified goes in
-    two steps: each node with the first of its candidates, then only pairs that are not
-    connected yet, so a dense group costs few comparisons.
+    common are linked, or connected over others.
     """
-    rows = cut(_sketches(docs, id_col, text_col, prints))
-    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.min("prints").alias("prints"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
+    rows = cut(_sketches(docs, id_col, text_col))
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes)
-    pairs = cut(_candidates(nodes, prints, bucket))
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = cut(_shingles_of(docs, cut(nodes.join(ends, "node").select("node", F.col("own").alias("id"), "digest")), id_col, text_col))
-    links = _verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, least)
-    found = cut(components(links))
-    of = lambda name: found.select(F.col("node").alias(name), F.col("root").alias("root_" + name))
-    left = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b")
-    more = _verified(left, sets, least)
-    if not more.isEmpty():
-        found = cut(components(links.union(more)))
+    found = _similar_nodes(docs, nodes.select("node", F.col("own").alias("id"), "digest"), id_col, text_col, least)
     classes = nodes.select("node", "own", "digest", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = cut(classes)
     smallest = cut(classes.groupBy("root").agg(F.min("own").alias("component_id"), F.count("*").alias("n")))
@@ -346,14 +378,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return every, classes.drop("rows")
 
 
-def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of every group of similar texts: the one with the smallest id.
 
     Texts are similar if ``least`` of their five-word shingles are the same; equal word
     sequences, those without words among them, are one group.  Null texts count as empty; a
     null id stays only if its group has no other; repeated rows go but one; columns stay.
     """
-    rows, _ = similar_classes(docs, id_col, text_col, least, prints)
+    rows, _ = similar_classes(docs, id_col, text_col, least)
     named = F.col("id").eqNullSafe(F.col("component_id"))
     ids = rows.groupBy("id", "th", "root", "component_id").agg(F.count("*").alias("n"))
     # Of rows that agree in id and group but not in text, the one with the smallest hash stays.

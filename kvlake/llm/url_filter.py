@@ -8,8 +8,9 @@ difference in the longest context that has been seen with that character, over i
 length.  The threshold is calibrated on the decided URLs of one fold in five, which the
 models don't count.  All of it is DataFrame operations.
 
-Grams are numbered by a hash into ``SLOTS`` slots, so that the model that is broadcast
-has at most so many rows, whatever the input; the counts behind it cover all URLs.
+The model has a row for every gram, so it grows with the URLs.  It meets the distinct grams
+of the URLs, and these all places; either join is a broadcast only up to ``BROADCAST_ROWS``
+rows and a shuffle beyond, with the same results.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, join_spread
 
 ORDER = 4
-SLOTS = 1 << 17
+#: Rows of (gram, ratio) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 SMOOTH = 2.0
 ALPHABET = 256
 FOLDS = 5
@@ -79,12 +81,8 @@ def grams(text: Column, at: Column, order: int) -> Column:
     return F.substring(F.concat(F.lit("\x02" * (ORDER - 1)), text, F.lit("\x03")), at + F.lit(ORDER - order), F.lit(order))
 
 
-def slot(gram: Column, order: int, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.lit(order), gram), F.lit(slots)).cast("int")
-
-
-def language_models(labelled: DataFrame, slots: int = SLOTS, smooth: float = SMOOTH) -> DataFrame:
-    """(slot, ratio): the smoothed log-likelihood difference of every gram's last character
+def language_models(labelled: DataFrame, smooth: float = SMOOTH) -> DataFrame:
+    """(k, gram, ratio): the smoothed log-likelihood difference of every gram's last character
     after the others, from ``labelled`` (text, accepted); all rows count."""
     places = labelled.select("text", "accepted", F.explode(F.sequence(F.lit(1), F.length("text") + 1)).alias("i"))
     every = F.array(*(F.struct(F.lit(k).alias("k"), grams(F.col("text"), F.col("i"), k).alias("gram")) for k in range(1, ORDER + 1)))
@@ -107,26 +105,30 @@ def language_models(labelled: DataFrame, slots: int = SLOTS, smooth: float = SMO
     table = levels[0]
     for level in levels[1:]:
         table = table.union(level)
-    number = F.pmod(F.xxhash64(F.col("k"), F.col("gram")), F.lit(slots)).cast("int")
-    # Grams that share a slot share their ratio, weighted by how often each was seen.
-    return (
-        table.select(number.alias("slot"), F.log(F.col("pa") / F.col("pr")).alias("x"), (F.col("a") + F.col("r")).alias("n"))
-        .groupBy("slot")
-        .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("ratio"))
-    )
+    return table.select("k", "gram", F.log(F.col("pa") / F.col("pr")).alias("ratio"))
 
 
-def score(urls: DataFrame, model: DataFrame, text: str, keep: list[str], slots: int = SLOTS) -> DataFrame:
+def score(urls: DataFrame, model: DataFrame, text: str, keep: list[str], bound: int = BROADCAST_ROWS) -> DataFrame:
     """``keep`` and ``score``: the mean log-likelihood difference of the characters, 0 where no gram was seen.
-    The model has at most ``slots`` rows and is broadcast; each row's characters are summed where they are."""
+    Of ``model``, which is materialised, an order of up to ``bound`` grams is broadcast."""
     numbered = urls.withColumn("__row", F.monotonically_increasing_id())
     places = numbered.select("__row", *keep, F.col(text).alias("__text"), F.explode(F.sequence(F.lit(1), F.length(text) + 1)).alias("__i"))
-    places = places.select("__row", *keep, *(slot(grams(F.col("__text"), F.col("__i"), k), k, slots).alias(f"__s{k}") for k in range(1, ORDER + 1)))
+    places = places.select("__row", *keep, grams(F.col("__text"), F.col("__i"), ORDER).alias("__gram"))
+    # The longest gram at a place has the shorter ones as its ends.
+    seen = places.groupBy("__gram").agg(F.count("*").alias("__n"))
+    sizes = {r["k"]: r["count"] for r in model.groupBy("k").count().collect()}
     for k in range(1, ORDER + 1):
-        own = F.broadcast(model.select(F.col("slot").alias(f"__s{k}"), F.col("ratio").alias(f"__r{k}")))
-        places = places.join(own, f"__s{k}", "left")
-    seen = F.coalesce(*(F.col(f"__r{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))
-    return places.groupBy("__row", *keep).agg(F.avg(seen).alias("score")).drop("__row")
+        own = model.where(F.col("k") == k).select(F.col("gram").alias(f"__g{k}"), F.col("ratio").alias(f"__r{k}"))
+        own = F.broadcast(own) if sizes.get(k, 0) <= bound else own
+        seen = seen.withColumn(f"__g{k}", F.substring("__gram", F.lit(ORDER + 1 - k), F.lit(k))).join(own, f"__g{k}", "left")
+    ratio = F.coalesce(*(F.col(f"__r{k}") for k in range(ORDER, 0, -1)), F.lit(0.0))
+    seen = cut(seen.select("__gram", ratio.alias("__ratio"), "__n"))
+    size = seen.agg(F.count("*").alias("grams"), F.coalesce(F.sum("__n"), F.lit(0)).alias("places")).first()
+    if size["grams"] <= bound:
+        found = places.join(F.broadcast(seen.drop("__n")), "__gram")
+    else:
+        found = join_spread(places, seen, "__gram", "__n", size["places"])
+    return found.groupBy("__row", *keep).agg(F.avg("__ratio").alias("score")).drop("__row")
 
 
 def calibrated(scored: DataFrame, bins: int = 400, reach: float = 4.0) -> float:
@@ -152,7 +154,7 @@ def calibrated(scored: DataFrame, bins: int = 400, reach: float = 4.0) -> float:
     return threshold[len(threshold) // 2] * (2 * reach / bins) - reach
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES, slots: int = SLOTS) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row.
 
     A null URL, or one without ``://``, has an empty host and path; no rule fits it, and
@@ -164,8 +166,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     urls = urls.withColumn("text", F.concat("host", "path"))
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS))
     labelled = urls.where(F.col("rule").isNotNull()).withColumn("accepted", F.col("ruled") == "allow")
-    model = cut(language_models(labelled.where(fold != 0).select("text", "accepted"), slots))
-    scored = cut(score(urls, model, "text", ["id", "host", "path", "rule", "ruled"], slots))
+    model = cut(language_models(labelled.where(fold != 0).select("text", "accepted")))
+    scored = cut(score(urls, model, "text", ["id", "host", "path", "rule", "ruled"]))
     decided = scored.where(F.col("rule").isNotNull() & (F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(FOLDS)) == 0))
     threshold = calibrated(decided.select((F.col("ruled") == "allow").alias("accepted"), "score"))
     method = F.when((F.col("score") >= threshold) & (F.concat("host", "path") != ""), "allow").otherwise("block")

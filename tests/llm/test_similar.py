@@ -43,3 +43,16 @@ def test_copies_with_an_appended_passage_go(spark):
     want = brute(texts)
     assert len(want) == 150 + 3
     assert kept(spark, texts) == want
+
+
+def test_copies_among_many_texts_over_one_vocabulary_go(spark):
+    """Word sets that are equal but for the passage of each copy."""
+    r, texts = random.Random(2), []
+    words = passage(r, 200, 10**6)
+    for _ in range(40):
+        r.shuffle(words)
+        texts += [" ".join(words), " ".join(words + passage(r, 24))]
+    want = brute(texts)
+    assert len(want) == 40
+    got = kept(spark, texts)
+    assert (len(got), got) == (40, want)

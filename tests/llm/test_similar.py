@@ -56,3 +56,17 @@ def test_copies_among_many_texts_over_one_vocabulary_go(spark):
     assert len(want) == 40
     got = kept(spark, texts)
     assert (len(got), got) == (40, want)
+
+
+def test_copies_among_many_orders_of_the_same_words_go(spark):
+    """More than 64 equal word sets; the first is like none of the others."""
+    r, texts = random.Random(3), []
+    words = passage(r, 100, 10**6)
+    texts.append(" ".join(words))
+    for _ in range(50):
+        r.shuffle(words)
+        texts += [" ".join(words), " ".join(words[:-2] + words[:-3:-1])]
+    want = brute(texts)
+    assert len(want) == 51
+    got = kept(spark, texts)
+    assert (len(got), got) == (51, want)

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -46,9 +47,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs a re-read
-    and not a recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    and not a recomputation.
+
+    It is a written table, not a checkpoint: a checkpoint keeps the estimated size of the
+    plan it cuts, and estimates of joins multiply; after a few rounds of an iteration
+    these are numbers of millions of digits.  A table's size is that of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: A key of more rows than this, and than its share of all rows over ``HOT_KEYS``, is hot; so there are at most that many.
@@ -71,6 +78,19 @@ def join_spread(many: DataFrame, one: DataFrame, key: str, n: str, total: int) -
     return many.join(F.broadcast(hot), key).unionByName(rest)
 
 
+def join_salted(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """``many`` joined with ``one``, which has a row per key, of any width: the rows of a hot key
+    are dealt out, each share of them with its own copy of the key's row."""
+    hot = many.groupBy(key).agg(F.ceil(F.count("*") / F.lit(HOT_ROWS)).cast("int").alias("__shares")).where("__shares > 1")
+    hot = cut(hot)
+    if hot.isEmpty():
+        return many.join(one, key)
+    shares = F.coalesce("__shares", F.lit(1))
+    dealt = many.join(hot, key, "left").withColumn("__share", F.pmod(F.xxhash64(*many.columns), shares).cast("int")).drop("__shares")
+    copies = one.join(hot, key, "left").withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1))).drop("__shares")
+    return dealt.join(copies, [key, "__share"]).drop("__share")
+
+
 def id_text(id_col: str) -> Column:
     """The id as text; a null id counts as the empty text."""
     return F.coalesce(F.col(id_col).cast("string"), F.lit(""))

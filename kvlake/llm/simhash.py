@@ -16,8 +16,9 @@ by pair beyond that bound.  Components come from alternating star contractions o
 links, in checkpointed rounds.
 
 A pair of texts whose word shingles have a Jaccard similarity of 0.8 differs in some ten of
-the 64 bits, beyond any radius that has few tables.  ``keep_one_similar`` takes such pairs
-from the shingles themselves, by prefix filtering, which misses none: in one order of all
+the 64 bits, beyond any radius that has few tables.  So ``keep_one_similar`` connects what the
+covering tables find, verified on the shingles, and takes the pairs beyond the radius from the
+shingles themselves, by prefix filtering, which misses none: in one order of all
 shingles, two sets of that similarity have one in common among the first fifth of either.
 The order puts those last that a sample shows to be frequent; it changes how many texts
 meet at a shingle, never which pairs are found.  All candidates are verified.
@@ -34,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, add_columns, blobs, cut, importable, join_spread, sliced
+from .common import HOT_ROWS, LOWER_BYTES, add_columns, blobs, cut, importable, join_salted, join_spread, sliced
 
 SEED = 42
 SHINGLE = 3
@@ -47,10 +48,10 @@ SIMILARITY = 0.8
 #: What orders the shingles: so many texts are sampled, and so many of their frequent shingles come last.
 SAMPLE_NODES = 8_000
 FREQUENT = 1 << 17
-#: Words of 64 bits that bound what two sets have in common.
+#: Words of 64 bits, at least, that bound what two sets have in common.
 PARITY = 8
 #: Rounds that compare with one text a shingle before what is not connected is compared exhaustively.
-STARS = 3
+STARS = 2
 #: Rows of (node, key) that may be broadcast, 16 bytes or so each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -199,13 +200,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     return out.select(*docs.columns)
 
 
-def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> list[int]:
-    """The distinct hashes of word shingles, signed; fewer words are one shingle, none have none."""
+def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of word shingles, signed and sorted; fewer words are one shingle, none have none."""
     if not words:
-        return []
-    join = b" ".join
-    every = {xxhash.xxh64_intdigest(join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))}
-    return [_signed(x) for x in every]
+        return np.zeros(0, dtype=np.int64)
+    join, n = b" ".join, max(1, len(words) - shingle + 1)
+    every = np.fromiter((xxhash.xxh64_intdigest(join(words[i : i + shingle]), SEED) for i in range(n)), dtype=np.uint64, count=n)
+    return np.unique(every.view(np.int64))
 
 
 def prefix_length(n: int, least: float) -> int:
@@ -214,167 +215,231 @@ def prefix_length(n: int, least: float) -> int:
 
 
 def parity(shingles: np.ndarray) -> np.ndarray:
-    """64 * ``PARITY`` bits, each the parity of how many shingles it has: two sets differ in no fewer shingles than bits."""
-    at = (shingles.view("<u8") >> np.uint64(20)) % np.uint64(64 * PARITY)
-    odd = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    """A power of two of bits, two or more a shingle, each the parity of how many shingles it has:
+    two sets differ in no fewer shingles than bits.  Half as many bits are one half xor the other."""
+    width = max(64 * PARITY, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else 64 * PARITY
+    at = (shingles.view("<u8") >> np.uint64(20)) % np.uint64(width)
+    odd = np.bincount(at.astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def folded(bits: np.ndarray) -> np.ndarray:
+    """The parities of ``PARITY`` words."""
+    while len(bits) > PARITY:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, digest) of every row: a hash of the text and a digest of its words."""
+    """(id, th, digest, fp) of every row: a hash of the text, and a digest of its words and the fingerprint of their shingles."""
     importable(docs.sparkSession)
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            digests = [xxhash.xxh3_128_digest(b" ".join(text.translate(LOWER_BYTES).split())) for text in blobs(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["id", "th", "digest"])
+            texts = blobs(batch.column(2))
+            digests = [xxhash.xxh3_128_digest(b" ".join(text.translate(LOWER_BYTES).split())) for text in texts]
+            prints = [fingerprint(text, SIMILAR_SHINGLE) for text in texts]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(prints, pa.int64())], ["id", "th", "digest", "fp"]
+            )
 
     th = F.xxhash64(F.coalesce(text_col, F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), th.alias("th"), text_col)
-    return rows.mapInArrow(run, f"id {id_type}, th bigint, digest binary")
+    return rows.mapInArrow(run, f"id {id_type}, th bigint, digest binary, fp bigint")
 
 
-def _of_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, make: Callable[[list[int]], tuple], fields: dict[str, pa.DataType], ddl: str) -> DataFrame:
-    """(node, ``fields``): what ``make`` makes of the shingles of each document that ``nodes`` (node, id, digest) names."""
+def _shingles_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, set): the shingles of the documents that ``nodes`` (node, id, digest) names."""
     importable(docs.sparkSession)
-    if nodes.count() <= BROADCAST_ROWS:
-        nodes = F.broadcast(nodes)
-    texts = docs.select(F.col(id_col).alias("id"), text_col).join(nodes.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
+    texts = docs.select(F.col(id_col).alias("id"), text_col).join(_bounded(nodes.withColumnRenamed("id", "__id")), F.col("id").eqNullSafe(F.col("__id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, 128):
             keep, made = [], []
             for row, (text, digest) in enumerate(zip(blobs(batch.column(0)), batch.column(2).to_pylist(), strict=True)):
                 words = text.translate(LOWER_BYTES).split()
                 # An id that several texts have brings them all; the digest tells them apart.
                 if xxhash.xxh3_128_digest(b" ".join(words)) == digest:
                     keep.append(row)
-                    made.append(make(shingle_set(words)))
-            nodes = batch.column(1).take(pa.array(keep, pa.int64()))
-            columns = (pa.array([m[i] for m in made], t) for i, t in enumerate(fields.values()))
-            yield pa.RecordBatch.from_arrays([nodes, *columns], ["node", *fields])
-
-    return texts.select(text_col, "node", "digest").mapInArrow(run, f"node bigint, {ddl}").dropDuplicates(["node"])
-
+                    made.append(shingle_set(words))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(keep, pa.int64())), pa.array(made, pa.list_(pa.int64()))], ["node", "set"])
 
-def _shingles_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, set): the shingles of the documents that ``nodes`` (node, id, digest) names."""
-    return _of_nodes(docs, nodes, id_col, text_col, lambda s: (s,), {"set": pa.list_(pa.int64())}, "set array<bigint>")
+    return texts.select(text_col, "node", "digest").mapInArrow(run, "node bigint, set array<bigint>").dropDuplicates(["node"])
 
 
 def _prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """(node, n, bits, keys) of every node: how many shingles it has, their
-    parity, and the first of them, in one order for all nodes, that any similar set has one of."""
+    """(node, n, bits, wide, keys) of every node: how many shingles it has, their
+    parities in ``PARITY`` words and in as many as its size asks for, and the first of them, in one order for all nodes, that any similar set has one of.
+
+    It is made of every row, copies too, as only digests and prefixes are then exchanged and no texts.
+    """
     total = nodes.count()
     share = int((1 << 30) * min(1.0, SAMPLE_NODES / max(1, total)))
-    sample = cut(nodes.where(F.pmod(F.xxhash64(F.lit(SEED), "digest"), F.lit(1 << 30)) < share))
+    sample = cut(nodes.where(F.pmod(F.xxhash64(F.lit(SEED), "digest"), F.lit(1 << 30)) < share).select("node", "id", "digest"))
     counts = _shingles_of(docs, sample, id_col, text_col).select(F.explode("set").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
     top = counts.where("n > 1").orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     known, often = (top.column(c).to_numpy() for c in ("key", "n"))
     by = np.argsort(known)
     frequent = docs.sparkSession.sparkContext.broadcast((known[by], often[by]))
 
-    def make(found: list[int]) -> tuple:
-        own, (known, often) = np.array(found, dtype=np.int64), frequent.value
+    def prefix(own: np.ndarray) -> tuple:
+        known, often = frequent.value
         n = np.zeros(len(own), dtype=np.int64)
         if len(known) and len(own):
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             n = np.where(known[at] == own, often[at], 0)
         first = own[np.lexsort((own, n))][: prefix_length(len(own), least)] if len(own) else own
-        return len(own), parity(own), first
+        wide = parity(own)
+        return len(own), folded(wide), wide, first
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            words = [text.translate(LOWER_BYTES).split() for text in blobs(batch.column(0))]
+            made = [prefix(shingle_set(w)) for w in words]
+            columns = [pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())]
+            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), *[pa.list_(pa.int64())] * 3))]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "bits", "wide", "keys"])
 
-    fields = {"n": pa.int32(), "bits": pa.list_(pa.int64()), "keys": pa.list_(pa.int64())}
-    return _of_nodes(docs, nodes, id_col, text_col, make, fields, "n int, bits array<bigint>, keys array<bigint>")
+    made = docs.select(text_col).mapInArrow(run, "digest binary, n int, bits array<bigint>, wide array<bigint>, keys array<bigint>")
+    return made.dropDuplicates(["digest"]).join(nodes.select("node", "digest"), "digest").drop("digest")
 
 
 def _meetings(prefixes: DataFrame) -> DataFrame:
-    """(key, node, n, left, p0...) of every node and key of its prefix that another node has too;
+    """(key, node, n, left) of every node and key of its prefix that another node has too;
     left is how many of its shingles come after the key."""
     placed = prefixes.select("node", "n", F.posexplode("keys").alias("at", "key"))
     shared = placed.withColumn("met", F.count("*").over(Window.partitionBy("key"))).where("met > 1")
-    bits = prefixes.select("node", *(F.col("bits")[i].alias(f"p{i}") for i in range(PARITY)))
-    return shared.select("key", "node", "n", (F.col("n") - F.col("at") - 1).alias("left")).join(bits, "node")
+    return shared.select("key", "node", "n", (F.col("n") - F.col("at") - 1).alias("left"))
 
 
-def _may_be_similar(a: str, b: str, least: float) -> Column:
+def _may_meet(a: str, b: str, least: float) -> Column:
     """False only for rows ``a`` and ``b`` of a key whose sets are not similar, or have a smaller key in common:
-    by their sizes, by what follows the key, and by the parities in which they differ."""
+    by their sizes, and by what follows the key."""
+    need = F.lit(least / (1 + least)) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
+    return _like_sizes(a, b, least) & (1 + F.least(F.col(f"{a}.left"), F.col(f"{b}.left")) >= need)
+
+
+def _may_be_similar(a: str, b: str, least: float) -> Column:
+    """False only for rows ``a`` and ``b`` whose sets are not similar, by the parities in which they differ."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
     need = F.lit(least / (1 + least)) * (n + m) - 1e-6
-    differ = sum(F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(PARITY))
-    return sizes & (1 + F.least(F.col(f"{a}.left"), F.col(f"{b}.left")) >= need) & (n + m - differ >= 2 * need)
+    differ = sum(F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(PARITY))
+    return n + m - differ >= 2 * need
+
+
+def _differ_widely(x: str, y: str) -> Column:
+    """In how many bits two rows of parities differ, the wider folded once to the narrower: sets of
+    like size are no further apart."""
+    short = f"least(size({x}.wide), size({y}.wide))"
+    fold = f"zip_with(slice({{0}}.wide, 1, {short}), slice({{0}}.wide, {short} + 1, {short}), (p, q) -> p ^ coalesce(q, 0L))"
+    return F.expr(f"aggregate(zip_with({fold.format(x)}, {fold.format(y)}, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)")
+
 
+def _like_sizes(x: str, y: str, least: float) -> Column:
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose shingles have a Jaccard similarity of ``least``."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    sizes = F.least(F.size("x"), F.size("y")) >= F.lit(least) * F.greatest(F.size("x"), F.size("y")) - 1e-9
+
+def _bounded(table: DataFrame) -> DataFrame:
+    """``table`` (two numbers a row), broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _verified(pairs: DataFrame, bits: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose shingles have a Jaccard similarity of ``least``; ``sets_of`` makes (node, set)
+    of nodes, and is asked only for those that the parities leave."""
+    pairs = cut(pairs.distinct())
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = join_salted(pairs, bits.select(F.col("node").alias(end), F.struct("n", "wide").alias(name)), end)
+    both = F.col("x.n") + F.col("y.n")
+    near = F.when(_like_sizes("x", "y", least), both - _differ_widely("x", "y") >= F.lit(2 * least / (1 + least)) * both - 1e-6)
+    pairs = cut(pairs.where(near).select("a", "b"))
+    sets = cut(sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
+    for end, name in (("a", "x"), ("b", "y")):
+        pairs = join_salted(pairs, sets.select(F.col("node").alias(end), F.col("set").alias(name)), end)
     common = F.size(F.array_intersect("x", "y"))
     enough = common >= F.lit(least) * (F.size("x") + F.size("y") - common) - 1e-9
-    return cut(pairs.join(a, "a").join(b, "b").where(sizes & enough).select("a", "b"))
+    return cut(pairs.where(enough).select("a", "b"))
+
+
+def _covered(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints are within the radius, enough to connect what is."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("rows")))
+    own = join_spread(nodes.select("node", "fp"), prints, "fp", "rows", nodes.count()).where("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    near = cut(links(prints.select("fp")))
+    for end in ("a", "b"):
+        near = near.join(prints.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node")), end)
+    return own.union(near.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")))
 
 
 def _similar_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """(node, root) of the ``nodes`` (node, id, digest) that are connected over similar pairs.
+    """(node, root) of the ``nodes`` (node, id, digest, fp) that meet another; those with the same root are connected over similar pairs.
 
-    In ``STARS`` rounds at most the nodes of a key are compared with one of them, another one in each
-    round, so that a dense group is connected at little cost.  Then all pairs of a key that are not
-    connected are compared, so that none is missed.
+    In ``STARS`` rounds the nodes of a key are compared with one of them, another one in each round and in each
+    key, so that a dense group is connected at little cost; in the first one pairs within the fingerprints' radius
+    are compared too.  Last all pairs of a key that are not connected are compared: none is missed.
     """
-    met = cut(_meetings(cut(_prefixes(docs, nodes, id_col, text_col, least))))
-    ends = met.select("node").distinct()
-    sets = cut(_shingles_of(docs, cut(nodes.join(ends, "node")), id_col, text_col))
+    covered = cut(_covered(nodes))
+    prefixes = cut(_prefixes(docs, nodes, id_col, text_col, least))
+    bits = prefixes.select("node", "n", "bits", "wide")
+    met = cut(_meetings(prefixes))
     total = met.count()
-    links = found = None
-
-    def rooted() -> DataFrame:
-        if found is None:
-            return met.withColumn("root", F.col("node"))
-        return met.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-    def connect(pairs: DataFrame) -> bool:
-        nonlocal links, found
-        more = _verified(cut(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()), sets, least)
-        if links is not None and more.isEmpty():
-            return False
-        links = more if links is None else links.union(more)
-        found = cut(components(links))
-        return not more.isEmpty()
+    roots = cut(met.select("node").union(covered.select("a")).union(covered.select("b")).distinct().select("node", F.col("node").alias("root")))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return _shingles_of(docs, cut(nodes.select("node", "id", "digest").join(wanted, "node")), id_col, text_col)
+
+    def connect(pairs: DataFrame) -> None:
+        """Joins the components of similar pairs, over the roots alone."""
+        nonlocal roots
+        more = _verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bits, sets_of, least)
+        for end in ("a", "b"):
+            more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+        more = cut(more.where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+        if more.isEmpty():
+            return
+        found = cut(components(more).select(F.col("node").alias("root"), F.col("root").alias("new")))
+        roots = cut(roots.join(_bounded(found), "root", "left").select("node", F.coalesce("new", "root").alias("root")))
 
     for turn in range(STARS):
-        rows = cut(rooted())
-        row = F.struct(*(c for c in rows.columns if c != "key"))
-        first = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
+        rows = met.join(_bounded(roots), "node")
+        row = F.struct("node", "n", "left", "root")
+        # The smallest set is the nearest to all others where a passage is what they share.
+        first = F.struct("n", "node") if turn == 0 else F.xxhash64(F.lit(turn), "key", "node")
         one = rows.groupBy("key").agg(F.min_by(row, first).alias("b"), F.count("*").alias("rows"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         one = cut(one.where("lo <> hi").select("key", "b", "rows"))
         star = join_spread(rows.select("key", row.alias("a")), one, "key", "rows", total)
-        if not connect(star.where((F.col("a.root") != F.col("b.root")) & _may_be_similar("a", "b", least))):
-            break
-    rows = rooted()
-    open_keys = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rows = cut(rows.join(open_keys, "key"))
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _may_be_similar("a", "b", least)
-    connect(rows.alias("a").join(rows.alias("b"), apart))
-    return found
+        star = star.where((F.col("a.root") != F.col("b.root")) & _may_meet("a", "b", least)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+        connect(star.union(covered) if turn == 0 else star)
+    rows = met.join(_bounded(roots), "node")
+    size = F.ceil(F.count("*") / F.lit(HOT_ROWS)).cast("int")
+    open_keys = cut(rows.groupBy("key").agg(size.alias("blocks"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "blocks"))
+    rows = cut(rows.join(_bounded(open_keys), "key").join(bits.select("node", "bits"), "node"))
+    # Of a hot key every block of rows meets every other, so no task has them all.
+    left = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("a")
+    right = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.root") < F.col("b.root"))
+    pairs = left.join(right, apart & _may_meet("a", "b", least) & _may_be_similar("a", "b", least))
+    connect(pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    return roots
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY):
-    """(rows, classes): (id, th, node) of every row, and (node, root, component_id) of every node.
+    """(rows, classes): (id, th, node, root, component_id) of every row, and (node, digest, root, component_id) of every node.
 
     A node is a sequence of words, lower-cased; nodes with ``least`` of their shingles in
     common are linked, or connected over others.
     """
     rows = cut(_sketches(docs, id_col, text_col))
-    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
+    nodes = rows.groupBy("digest").agg(F.min("id").alias("own"), F.first("fp").alias("fp"), F.count("*").alias("rows")).withColumn("node", F.monotonically_increasing_id())
     nodes = cut(nodes)
-    found = _similar_nodes(docs, nodes.select("node", F.col("own").alias("id"), "digest"), id_col, text_col, least)
+    found = _similar_nodes(docs, nodes.select("node", F.col("own").alias("id"), "digest", "fp"), id_col, text_col, least)
     classes = nodes.select("node", "own", "digest", "rows").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = cut(classes)
     smallest = cut(classes.groupBy("root").agg(F.min("own").alias("component_id"), F.count("*").alias("n")))
     classes = cut(join_spread(classes, smallest, "root", "n", classes.count()).select("node", "digest", "rows", "root", "component_id"))
-    every = join_spread(rows, classes, "digest", "rows", rows.count()).select("id", "th", "node", "root", "component_id")
+    every = join_spread(rows.select("id", "th", "digest"), classes, "digest", "rows", rows.count()).select("id", "th", "node", "root", "component_id")
     return every, classes.drop("rows")
 
 

@@ -45,6 +45,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Rows of an Arrow batch while a table is cut; what a worker holds of it stays small beside long texts.
+BATCH_ROWS = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of few rows for what runs inside; the session's setting comes back."""
+    before = spark.conf.get(_BATCH_SETTING)
+    if int(before) <= 0 or int(before) > BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs a re-read
     and not a recomputation.
@@ -54,7 +71,8 @@ def cut(df: DataFrame) -> DataFrame:
     these are numbers of millions of digits.  A table's size is that of its files.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -101,12 +119,24 @@ def fold(id_col: str, folds: int) -> Column:
     return F.pmod(F.crc32(id_text(id_col)), F.lit(folds).cast("bigint"))
 
 
+#: Bytes of a slice of a batch, if it has more than one row.
+SLICE_BYTES = 1 << 20
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in short slices, so that what Python makes of one stays small; at the end
+    """The batches in slices of few rows and bytes, so that what Python makes of one stays small; at the end
     of a task freed memory goes back to the system, as workers live on from stage to stage."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n = batch.num_rows
+        if n > rows or (n > 1 and batch.nbytes > SLICE_BYTES):
+            yield from parts(batch.slice(0, n // 2))
+            yield from parts(batch.slice(n // 2))
+        elif n:
+            yield batch
+
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        yield from parts(batch)
     del batches
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):

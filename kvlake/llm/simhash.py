@@ -295,9 +295,12 @@ def _prefixes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, lea
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            words = [text.translate(LOWER_BYTES).split() for text in blobs(batch.column(0))]
-            made = [prefix(shingle_set(w)) for w in words]
-            columns = [pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in words], pa.binary())]
+            digests, made = [], []
+            for text in blobs(batch.column(0)):
+                words = text.translate(LOWER_BYTES).split()
+                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                made.append(prefix(shingle_set(words)))
+            columns = [pa.array(digests, pa.binary())]
             columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.int32(), *[pa.list_(pa.int64())] * 3))]
             yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "bits", "wide", "keys"])
 

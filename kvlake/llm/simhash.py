@@ -51,7 +51,7 @@ FREQUENT = 1 << 17
 #: Words of 64 bits, at least, that bound what two sets have in common.
 PARITY = 8
 #: Rounds that compare with one text a shingle before what is not connected is compared exhaustively.
-STARS = 2
+STARS = 4
 #: Rows of (node, key) that may be broadcast, 16 bytes or so each; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -339,13 +339,23 @@ def _differ_widely(x: str, y: str) -> Column:
     return F.expr(f"aggregate(zip_with({fold.format(x)}, {fold.format(y)}, (p, q) -> bit_count(p ^ q)), 0, (n, d) -> n + d)")
 
 
+def _without_repeats(met: DataFrame) -> DataFrame:
+    """``met`` without the keys whose nodes are those of another one: a passage that texts share gives them all its
+    shingles as keys.  Of such keys the first in the order stays, as more comes after it in every set."""
+    of_key = met.groupBy("key").agg(
+        F.count("*").alias("rows"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y"), F.sum("left").alias("after")
+    )
+    kept = of_key.groupBy("rows", "x", "y").agg(F.max_by("key", F.struct("after", "key")).alias("key"))
+    return met.join(_bounded(cut(kept.select("key"))), "key")
+
+
 def _like_sizes(x: str, y: str, least: float) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return F.least(n, m) >= F.lit(least) * F.greatest(n, m) - 1e-9
 
 
 def _bounded(table: DataFrame) -> DataFrame:
-    """``table`` (two numbers a row), broadcast if its counted rows are few."""
+    """``table`` (a few numbers a row), broadcast if its counted rows are few."""
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
@@ -386,7 +396,7 @@ def _similar_nodes(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
     covered = cut(_covered(nodes))
     prefixes = cut(_prefixes(docs, nodes, id_col, text_col, least))
     bits = prefixes.select("node", "n", "bits", "wide")
-    met = cut(_meetings(prefixes))
+    met = cut(_without_repeats(cut(_meetings(prefixes))))
     total = met.count()
     roots = cut(met.select("node").union(covered.select("a")).union(covered.select("b")).distinct().select("node", F.col("node").alias("root")))
 

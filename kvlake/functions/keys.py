@@ -62,12 +62,18 @@ def is_valid(op: str = "op") -> Column:
     return key & ((F.col(op) != "P") | F.col("value").isNotNull())
 
 
+# Bytes of an entry beside key and value, of a log record of a put beside both, of a delete beside the key.
+ENTRY_HEADER = 16
+PUT_HEADER = 25
+DELETE_HEADER = 13
+
+
 def entry_bytes() -> Column:
-    """Key, a header of 16 bytes, value."""
-    return (F.octet_length("key") + 16 + F.coalesce(F.octet_length("value"), F.lit(0))).cast("bigint")
+    """Key, a header, value."""
+    return (F.octet_length("key") + ENTRY_HEADER + F.coalesce(F.octet_length("value"), F.lit(0))).cast("bigint")
 
 
 def record_bytes() -> Column:
-    """A log record: a put has 25 bytes beside key and value, a delete 13 beside the key."""
-    put = 25 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    return F.when(F.col("op") == "P", put).otherwise(13 + F.octet_length("key")).cast("bigint")
+    """A record of the log."""
+    put = PUT_HEADER + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return F.when(F.col("op") == "P", put).otherwise(DELETE_HEADER + F.octet_length("key")).cast("bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvlake.functions.keys import Key, encode, has_prefix, in_range, is_valid
+from kvlake.functions.keys import Key, encode, has_prefix, in_range, is_expired, is_valid
 
 from .merge import latest, live, visible
 
@@ -69,6 +69,12 @@ def deletable(rows: DataFrame, keys: DataFrame, now_ms: int) -> DataFrame:
     return wanted.join(list_keys(rows, now_ms), "key", "left_semi")
 
 
+def expired(rows: DataFrame, now_ms: int) -> DataFrame:
+    """Keys whose newest version is a put that has expired."""
+    newest = latest(rows.select("key", "expires_at_ms", "tombstone", "seq"))
+    return newest.where(~F.col("tombstone") & is_expired(now_ms)).select("key")
+
+
 def validate(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) operations."""
     ok = F.coalesce(is_valid(), F.lit(False))

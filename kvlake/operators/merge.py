@@ -43,8 +43,8 @@ def visible(rows: DataFrame, now_ms: int) -> DataFrame:
     return live(latest(rows), now_ms)
 
 
-def as_tombstones(rows: DataFrame, now_ms: int) -> DataFrame:
-    """Expired rows as tombstones, so that they go on hiding older versions."""
+def as_tombstones(rows: DataFrame, now_ms: int, *more: str) -> DataFrame:
+    """Expired rows as tombstones, so that they go on hiding older versions; ``more`` columns stay."""
     gone = F.col("tombstone") | is_expired(now_ms)
     return rows.select(
         "key",
@@ -52,6 +52,7 @@ def as_tombstones(rows: DataFrame, now_ms: int) -> DataFrame:
         F.when(gone, F.lit(0)).otherwise(F.col("expires_at_ms")).cast("bigint").alias("expires_at_ms"),
         gone.alias("tombstone"),
         "seq",
+        *more,
     )
 
 

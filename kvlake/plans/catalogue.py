@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kvlake.functions import keys as K
 from kvlake.operators import bloom, merge, reads
-from kvlake.operators.planning import SegmentInfo, SizeTieredPlanner
+from kvlake.config import StoreConfig
+from kvlake.operators.compaction import compacted
+from kvlake.operators.planning import SegmentInfo, SizeTieredPlanner, ThresholdPlanner
+from kvlake.schema import VERSION
+from kvlake.sources.filesystem import shared_folder
+from kvlake.sources.wal import WriteAheadLog
+from kvlake.store import KVStore
+from kvlake.streaming.ingest import latest_state
 
 from .changelog import LOG_SQL, NOW_MS, SEGMENT_ROWS, events_log, events_versions, orders_log, with_segment
 
@@ -21,11 +30,15 @@ PROBES = ("user-00001-0", "user-00001-1", "user-00002-2", "user-00003-3", "user-
 PROBES_SQL = "(VALUES " + ", ".join("(NULL)" if p is None else f"('{p}')" for p in PROBES) + ") AS p(key)"
 
 
+#: What begins SQL with a recursive part.
+LEVELS_RECURSIVE = ", m AS (SELECT segment_id, segment_id % 3 AS level"
+
+
 def query(sql: str | None, name: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
         if sql:
-            SQL[name or f.__name__] = LOG_SQL + sql
+            SQL[name or f.__name__] = (LOG_SQL.replace("WITH log", "WITH RECURSIVE log") if sql.startswith(LEVELS_RECURSIVE) else LOG_SQL) + sql
         return f
 
     return add
@@ -50,9 +63,23 @@ def current_state(spark, d):
     return rows_out(merge.visible(events_versions(spark, d), NOW_MS))
 
 
-@query(STATE + " WHERE key = 'user-00003-3'")
+GROUPS = """, g AS (SELECT CASE WHEN op = 'D' THEN 'deleted' WHEN gone THEN 'expired' ELSE 'live' END AS probe, min(key) AS key FROM s GROUP BY 1
+  UNION ALL SELECT 'absent', 'nobody')"""
+
+
+@query(GROUPS + " SELECT probe, g.key, vis.key IS NOT NULL AS found, vis.value, vis.seq FROM g LEFT JOIN vis ON g.key = vis.key")
 def point_get(spark, d):
-    return rows_out(reads.point_get(events_versions(spark, d), "user-00003-3", NOW_MS))
+    """A key that is live, one that is deleted, one that has expired, each the first of its kind, and one that never was."""
+    rows = events_versions(spark, d)
+    kind = F.when(F.col("tombstone"), "deleted").when(K.is_expired(NOW_MS), "expired").otherwise("live")
+    wanted = [(r["probe"], bytes(r["key"])) for r in merge.latest(rows).groupBy(kind.alias("probe")).agg(F.min("key").alias("key")).collect()]
+    out = None
+    for probe, key in [*wanted, ("absent", b"nobody")]:
+        got = reads.point_get(rows, key, NOW_MS).select(K.shown("value").alias("value"), "seq", F.lit(True).alias("found"))
+        one = spark.range(1).select(F.lit(probe).alias("probe"), F.lit(key.decode()).alias("key")).join(got, F.lit(True), "left")
+        one = one.withColumn("found", F.coalesce("found", F.lit(False)))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(f"""SELECT p.key, CASE WHEN p.key IS NULL OR p.key = '' THEN 'INVALID_INPUT' WHEN vis.key IS NULL THEN 'KEY_NOT_FOUND' ELSE 'SUCCESS' END AS status,
@@ -93,26 +120,11 @@ def size_exact(spark, d):
     return reads.size(events_versions(spark, d), NOW_MS)
 
 
-@query("SELECT CAST(sum(n) AS BIGINT) AS size FROM (SELECT segment_id, count(DISTINCT key) AS n FROM log GROUP BY segment_id)")
-def size_approx(spark, d):
-    """Entries over all runs, overwritten ones too."""
-    runs = with_segment(events_versions(spark, d)).select("segment_id", "key").distinct()
-    return runs.agg(F.count("*").alias("size"))
-
-
 @query("SELECT key, value, seq, expires_at_ms FROM vis ORDER BY key LIMIT 10")
 def first_k_keys(spark, d):
     return rows_out(reads.first_k(events_versions(spark, d), 10, NOW_MS))
 
 
-@query("SELECT key, value, row_number() OVER (ORDER BY key) AS position, lead(key) OVER (ORDER BY key) AS peeked FROM vis WHERE key >= 'user-00003' AND key < 'user-00006'")
-def iterator_ordered(spark, d):
-    """A key range in order, each row with the key that a peek would show."""
-    w = Window.orderBy("key")
-    rows = reads.scan(events_versions(spark, d), NOW_MS, "user-00003", "user-00006")
-    return rows.select(K.shown("key").alias("key"), K.shown("value").alias("value"), F.row_number().over(w).cast("bigint").alias("position"), K.shown(F.lead("key").over(w)).alias("peeked"))
-
-
 @query("SELECT key, seq FROM l WHERE op = 'D'")
 def tombstones_only(spark, d):
     return merge.latest(events_versions(spark, d)).where("tombstone").select(K.shown("key").alias("key"), "seq")
@@ -129,10 +141,8 @@ def ttl_boundary(spark, d):
     """Rows that expire, at their very millisecond and one later."""
     rows = merge.latest(events_versions(spark, d)).where("not tombstone and expires_at_ms > 0")
 
-    def alive(now: Column) -> Column:
-        return ~((F.col("expires_at_ms") > 0) & (now > F.col("expires_at_ms")))
-
-    return rows.select(K.shown("key").alias("key"), "seq", alive(F.col("expires_at_ms")).alias("live_at"), alive(F.col("expires_at_ms") + 1).alias("live_after"))
+    at = F.col("expires_at_ms")
+    return rows.select(K.shown("key").alias("key"), "seq", (~K.is_expired(at)).alias("live_at"), (~K.is_expired(at + 1)).alias("live_after"))
 
 
 def _before(spark, d, *columns: str) -> DataFrame:
@@ -174,14 +184,21 @@ def reject_invalid_input(spark, d):
     return both.select(K.shown("key").alias("key"), "seq", "accepted")
 
 
-REPLAY = 4000
+# Where a log or a run is cut in two: by its last sequence number.
+FIRST_PART = "(SELECT max(seq) * 2 // 5 FROM log)"
+TAIL = "(SELECT max(seq) * 9 // 10 FROM log)"
+HALF = "(SELECT max(segment_id) // 2 FROM log)"
 
 
-@query(f""", r AS (SELECT * FROM v WHERE seq <= {REPLAY} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+def _last(spark, d, column: str = "seq") -> int:
+    return with_segment(events_log(spark, d)).agg(F.max(column)).first()[0] or 0
+
+
+@query(f""", r AS (SELECT * FROM v WHERE seq <= {FIRST_PART} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
   SELECT key, value, seq, expires_at_ms FROM r WHERE op = 'P' AND NOT (expires_at_ms > 0 AND {NOW_MS} > expires_at_ms)""")
 def wal_replay_prefix(spark, d):
-    """The state after the log's first part."""
-    return rows_out(merge.visible(events_versions(spark, d).where(F.col("seq") <= REPLAY), NOW_MS))
+    """The state after the first two fifths of the log."""
+    return rows_out(merge.visible(events_versions(spark, d).where(F.col("seq") <= _last(spark, d) * 2 // 5), NOW_MS))
 
 
 ROTATE = 64 * 1024
@@ -212,13 +229,58 @@ def max_seq(spark, d):
     return events_log(spark, d).agg(F.max("seq").alias("max_seq"))
 
 
-@query("SELECT seq, op, key, value, ttl AS ttl_seconds, ts_ms FROM log WHERE seq > 9000 ORDER BY seq")
+def _log(spark, d, parts: int = 1) -> WriteAheadLog:
+    """A log on disk with all events, in so many batches."""
+    log = WriteAheadLog(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}")
+    for rows in _parts(spark, d, parts):
+        log.append(rows, -1, ["seq"])
+    return log
+
+
+def _parts(spark, d, parts: int) -> list[DataFrame]:
+    """The log by sequence numbers, in so many parts."""
+    log, step = events_log(spark, d), -(-(_last(spark, d) + 1) // max(parts, 1))
+    return [log.where((F.col("seq") >= i * step) & (F.col("seq") < (i + 1) * step)) for i in range(parts)]
+
+
+@query(f"SELECT seq, op, key, value, ttl AS ttl_seconds, ts_ms FROM log WHERE seq > {TAIL} ORDER BY seq")
 def wal_scan_tail(spark, d):
-    """Log records behind a sequence number, in order."""
-    rows = events_log(spark, d).where(F.col("seq") > 9000).orderBy("seq")
+    """Records of a log on disk behind a sequence number, in order."""
+    rows = _log(spark, d, 2).read(_last(spark, d) * 9 // 10).orderBy("seq")
     return rows.select("seq", "op", K.shown("key").alias("key"), K.shown("value").alias("value"), "ttl_seconds", "ts_ms")
 
 
+@query("SELECT op, key, value, ttl AS ttl_seconds, ts_ms FROM log")
+def store_two_writers(spark, d):
+    """Two writers append at once, each having seen the same log: every record is there once."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    met = threading.Barrier(2)
+    failed: list[BaseException] = []
+
+    def write(rows: DataFrame) -> None:
+        first = [True]
+
+        def claim() -> None:
+            if first.pop() if first else False:
+                met.wait(120)
+
+        try:
+            WriteAheadLog(spark, root).append(rows, -1, ["seq"], claim=claim)
+        except BaseException as e:  # noqa: BLE001 - raised below, in the caller's thread
+            failed.append(e)
+            met.abort()
+
+    writers = [threading.Thread(target=write, args=(rows,)) for rows in _parts(spark, d, 2)]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    if failed:
+        raise failed[0]
+    rows = KVStore(spark, root).log.checked()
+    return rows.select("op", K.shown("key").alias("key"), K.shown("value").alias("value"), "ttl_seconds", "ts_ms")
+
+
 @query("""SELECT segment_id, count(*) AS rows, count(DISTINCT key) AS keys, CAST(sum(CASE WHEN op = 'D' THEN 1 ELSE 0 END) AS BIGINT) AS tombstones, min(key) AS min_key,
   max(key) AS max_key, min(seq) AS min_seq, max(seq) AS max_seq, CAST(sum(strlen(key) + 16 + coalesce(strlen(value), 0)) AS BIGINT) AS bytes FROM log GROUP BY segment_id""")
 def segment_stats(spark, d):
@@ -247,19 +309,15 @@ _GONE = f"(op = 'D' OR (expires_at_ms > 0 AND {NOW_MS} > expires_at_ms))"
   {_GONE} AS tombstone, seq FROM sl""")
 def flush_latest_per_segment(spark, d):
     """What a flush of each run writes: expired rows as tombstones."""
-    rows = _segment_latest(spark, d)
-    gone = F.col("tombstone") | K.is_expired(NOW_MS)
-    return rows.select(
-        "segment_id", K.shown("key").alias("key"), F.when(~gone, K.shown("value")).alias("value"), F.when(gone, 0).otherwise(F.col("expires_at_ms")).cast("bigint").alias("expires_at_ms"),
-        gone.alias("tombstone"), "seq",
-    )
+    return rows_out(merge.as_tombstones(_segment_latest(spark, d), NOW_MS, "segment_id"), "tombstone", "segment_id")
 
 
-@query("""SELECT key, value, seq, expires_at_ms, op = 'D' AS tombstone FROM v WHERE segment_id IN (1, 2) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1""")
+@query("SELECT key, value, seq, expires_at_ms, op = 'D' AS tombstone FROM l")
 def merge_runs(spark, d):
-    """Two runs merged: the newer row of a key wins."""
-    rows = _segment_latest(spark, d)
-    return rows_out(merge.merge(*(rows.where(F.col("segment_id") == s).drop("segment_id") for s in (1, 2))), "tombstone")
+    """The log as two runs, an older and a newer one, merged: the newer row of a key wins."""
+    rows, half = events_versions(spark, d), _last(spark, d) // 2
+    runs = [merge.latest(rows.where(F.col("seq") <= half)), merge.latest(rows.where(F.col("seq") > half))]
+    return rows_out(merge.merge(*runs), "tombstone")
 
 
 @query("SELECT segment_id, min(key) AS min_key, max(key) AS max_key FROM log GROUP BY segment_id HAVING min(key) <= 'user-00003-3' AND max(key) >= 'user-00003-3'")
@@ -280,27 +338,22 @@ def index_floor_lookup(spark, d):
 @query(STATE)
 def compact_full(spark, d):
     """All segments into one: no tombstone is needed, and the state is unchanged."""
-    from kvlake.operators.compaction import compacted
-
     return rows_out(compacted(_segment_latest(spark, d).drop("segment_id"), NOW_MS, drop_tombstones=True))
 
 
 @query(STATE)
 def compact_partial_keeps_tombstones(spark, d):
     """The newer half compacted with its tombstones, and read over the older half."""
-    from kvlake.operators.compaction import compacted
-
-    rows = _segment_latest(spark, d)
-    newer = compacted(rows.where("segment_id >= 5").drop("segment_id"), NOW_MS, drop_tombstones=False)
-    return rows_out(merge.visible(rows.where("segment_id < 5").drop("segment_id").unionByName(newer), NOW_MS))
+    rows, half = _segment_latest(spark, d), _last(spark, d, "segment_id") // 2
+    newer = compacted(rows.where(F.col("segment_id") >= half).drop("segment_id"), NOW_MS, drop_tombstones=False)
+    return rows_out(merge.visible(rows.where(F.col("segment_id") < half).drop("segment_id").unionByName(newer), NOW_MS))
 
 
-@query(f", r AS (SELECT * FROM v WHERE segment_id >= 5 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT count(*) AS entries, CAST(sum(CASE WHEN {_GONE} THEN 1 ELSE 0 END) AS BIGINT) AS tombstones FROM r")
+@query(f", r AS (SELECT * FROM v WHERE segment_id >= {HALF} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT count(*) AS entries, CAST(sum(CASE WHEN {_GONE} THEN 1 ELSE 0 END) AS BIGINT) AS tombstones FROM r")
 def compact_drops_expired(spark, d):
     """Entries of the newer half compacted; expired ones have become tombstones."""
-    from kvlake.operators.compaction import compacted
-
-    rows = compacted(_segment_latest(spark, d).where("segment_id >= 5").drop("segment_id"), NOW_MS, drop_tombstones=False)
+    half = _last(spark, d, "segment_id") // 2
+    rows = compacted(_segment_latest(spark, d).where(F.col("segment_id") >= half).drop("segment_id"), NOW_MS, drop_tombstones=False)
     return rows.agg(F.count("*").alias("entries"), F.sum(F.col("tombstone").cast("bigint")).alias("tombstones"))
 
 
@@ -314,23 +367,41 @@ def _manifest(spark, d) -> DataFrame:
     return rows.groupBy("segment_id").agg(F.sum("b").alias("size_bytes")).select("segment_id", (F.col("segment_id") % 3).alias("level"), "size_bytes")
 
 
+def _planned(spark, manifest: DataFrame, planner) -> DataFrame:
+    """What a planner selects of a manifest, which is the driver's: a row per segment."""
+    infos = [SegmentInfo(r["segment_id"], r["level"], r["size_bytes"]) for r in manifest.orderBy("segment_id").collect()]
+    chosen = planner.select(infos)
+    level = planner.output_level(chosen)
+    return spark.createDataFrame([(s.segment_id, s.level, s.size_bytes, level) for s in chosen], "segment_id bigint, level bigint, size_bytes bigint, output_level bigint")
+
+
 @query(LEVELS + ", c AS (SELECT level, count(*) AS n FROM m GROUP BY level HAVING count(*) >= 2 ORDER BY n DESC, level LIMIT 1) SELECT segment_id, level, size_bytes, level + 1 AS output_level FROM m JOIN c USING (level)")
 def plan_threshold(spark, d):
     """The segments of the fullest level."""
-    m = _manifest(spark, d)
-    best = m.groupBy("level").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "level").limit(1)
-    return m.join(F.broadcast(best.select("level")), "level").select("segment_id", "level", "size_bytes", (F.col("level") + 1).alias("output_level"))
-
-
-@query(None)
+    return _planned(spark, _manifest(spark, d), ThresholdPlanner())
+
+
+SIZE_TIERED = """, t AS (SELECT segment_id, level, CASE WHEN segment_id % 4 = 0 THEN size_bytes * 10 ELSE size_bytes END AS size_bytes FROM m),
+  o AS (SELECT *, row_number() OVER (ORDER BY size_bytes, segment_id) AS i FROM t),
+  f(i, buckets, place) AS (
+    SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(total BIGINT, n BIGINT)[]), CAST(0 AS BIGINT)
+    UNION ALL
+    SELECT i, CASE WHEN hit > 0 THEN list_transform(buckets, lambda b, k: CASE WHEN k = hit THEN {'total': b.total + size_bytes, 'n': b.n + 1} ELSE b END)
+        ELSE list_append(buckets, {'total': size_bytes, 'n': CAST(1 AS BIGINT)}) END, CASE WHEN hit > 0 THEN hit ELSE len(buckets) + 1 END
+    FROM (SELECT o.i, f.buckets, o.size_bytes, coalesce(list_position(list_transform(f.buckets,
+        lambda b: (b.total // b.n) * 0.5 <= o.size_bytes AND o.size_bytes <= (b.total // b.n) * 1.5), true), 0) AS hit
+      FROM f JOIN o ON o.i = f.i + 1)
+  ), p AS (SELECT o.*, f.place FROM o JOIN f USING (i)),
+  best AS (SELECT place FROM p GROUP BY place HAVING count(*) >= 4 ORDER BY count(*) DESC, place LIMIT 1),
+  c AS (SELECT segment_id, level, size_bytes FROM p JOIN best USING (place) ORDER BY segment_id LIMIT 32)
+  SELECT segment_id, level, size_bytes, (SELECT max(level) + 1 FROM c) AS output_level FROM c"""
+
+
+@query(LEVELS + SIZE_TIERED)
 def plan_size_tiered(spark, d):
-    """The largest bucket of like-sized segments; the greedy fold over manifest rows is the driver's."""
-    m = _manifest(spark, d).withColumn("size_bytes", F.when(F.col("segment_id") % 4 == 0, F.col("size_bytes") * 10).otherwise(F.col("size_bytes")))
-    planner = SizeTieredPlanner()
-    infos = [SegmentInfo(r["segment_id"], r["level"], r["size_bytes"]) for r in m.collect()]
-    chosen = planner.select(infos)
-    level = planner.output_level(chosen)
-    return spark.createDataFrame([(s.segment_id, s.level, s.size_bytes, level) for s in chosen], "segment_id bigint, level bigint, size_bytes bigint, output_level bigint")
+    """The oldest segments of the largest bucket of like-sized ones."""
+    tenfold = F.when(F.col("segment_id") % 4 == 0, F.col("size_bytes") * 10).otherwise(F.col("size_bytes"))
+    return _planned(spark, _manifest(spark, d).withColumn("size_bytes", tenfold), SizeTieredPlanner())
 
 
 @query(LEVELS + " SELECT max(level) + 1 AS output_level FROM m")
@@ -408,7 +479,7 @@ def ecommerce_replay(spark, d):
     return rows_out(merge.visible(merge.versions(log), NOW_MS))
 
 
-SQL["latest_by_customer"] = """SELECT 'customer-' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS key, arg_max(o_orderstatus, o_orderkey) AS value, max(o_orderkey) AS seq,
+SQL["latest_by_customer"] = """SELECT 'customer-' || lpad(CAST(o_custkey AS VARCHAR), greatest(9, CAST(length(CAST(o_custkey AS VARCHAR)) AS INTEGER)), '0') AS key, arg_max(o_orderstatus, o_orderkey) AS value, max(o_orderkey) AS seq,
   CAST(0 AS BIGINT) AS expires_at_ms FROM orders GROUP BY o_custkey"""
 
 
@@ -421,14 +492,7 @@ def latest_by_customer(spark, d):
 @query(STATE)
 def stream_upsert_state(spark, d):
     """The log as a stream: versions kept in Spark's state store, then judged as any other."""
-    import tempfile
-    import uuid
-
-    from kvlake.schema import VERSION
-    from kvlake.streaming.ingest import latest_state
-
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvlake-")
-    run = f"{folder}/stream-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events_log(spark, d).write.parquet(f"{run}/log")
     schema = spark.read.parquet(f"{run}/log").schema
     out = f"{run}/versions"
@@ -442,23 +506,139 @@ def stream_upsert_state(spark, d):
     return rows_out(merge.visible(spark.read.schema(VERSION).parquet(out), NOW_MS))
 
 
-@query(STATE.replace("seq, ", ""))
-def store_round_trip(spark, d):
-    """The log in four batches through a store on disk: logged, flushed, compacted, and read back with a tail."""
-    import tempfile
-    import uuid
+def _store(spark, d, parts: int = 1, **config) -> KVStore:
+    """A new store on disk, with all events logged in so many batches."""
+    store = KVStore(spark, StoreConfig(data_directory=f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", **config))
+    for rows in _parts(spark, d, parts):
+        store.append(rows, order_by=["seq"])
+    return store
 
-    from kvlake.store import KVStore
 
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvlake-")
-    store = KVStore(spark, f"{folder}/store-{uuid.uuid4().hex}")
-    log = events_log(spark, d)
-    last = log.agg(F.max("seq")).first()[0]
-    quarter = -(-(last + 1) // 4)
-    for part in range(4):
-        store.append(log.where((F.col("seq") >= part * quarter) & (F.col("seq") < (part + 1) * quarter)), order_by=["seq"])
-        if part < 3:
+def _all_segments(store: KVStore) -> list[int]:
+    return [s.segment_id for s in store.manifest.current().segments]
+
+
+STORED = STATE.replace("seq, ", "")
+
+
+@query(STORED)
+def store_round_trip(spark, d):
+    """The log in four batches through a store on disk: logged, flushed, compacted, and read back with a tail."""
+    store = _store(spark, d, 0)
+    for number, rows in enumerate(_parts(spark, d, 4)):
+        store.append(rows, order_by=["seq"])
+        if number < 3:
             store.flush(NOW_MS)
-        if part == 1:
-            store.compact([s.segment_id for s in store.manifest.current().segments], NOW_MS)
+        if number == 1:
+            store.compact(_all_segments(store), NOW_MS)
     return rows_out(store.scan(now_ms=NOW_MS)).drop("seq")
+
+
+@query(STORED)
+def store_snapshot_scan(spark, d):
+    """A scan that is opened before a flush, a compaction and a clear, and read after them."""
+    store = _store(spark, d, 2)
+    opened = store.scan(now_ms=NOW_MS)
+    store.flush(NOW_MS)
+    store.compact(_all_segments(store), NOW_MS)
+    store.clear()
+    store.vacuum()
+    return rows_out(opened).drop("seq")
+
+
+@query(STORED)
+def store_crash_recovery(spark, d):
+    """A store left without a flush, opened again."""
+    return rows_out(KVStore(spark, _store(spark, d, 2).root).scan(now_ms=NOW_MS)).drop("seq")
+
+
+@query("SELECT op, count(*) AS records FROM log GROUP BY op HAVING false")
+def store_clear(spark, d):
+    """What is left of a store that was cleared, and then maintained and opened again: nothing."""
+    store = _store(spark, d, 2)
+    store.flush(NOW_MS)
+    store.clear()
+    store.maintain(NOW_MS)
+    rows = KVStore(spark, store.root).rows()
+    return rows.groupBy(F.when(F.col("tombstone"), "D").otherwise("P").alias("op")).agg(F.count("*").alias("records"))
+
+
+@query(f"""SELECT step, answer FROM (VALUES (1, 'SUCCESS'), (2, 'one'), (3, 'INVALID_INPUT'), (4, 'INVALID_INPUT'), (5, 'INVALID_INPUT'), (6, 'KEY_NOT_FOUND'), (7, 'SUCCESS'),
+  (8, NULL), (9, 'KEY_NOT_FOUND'), (10, 'SUCCESS'), (11, 'timed'), (12, NULL), (13, 'true'), (14, 'false'), (15, ''), (16, 'MEMTABLE_FULL')) AS t(step, answer)""")
+def store_single_key_calls(spark, d):
+    """put, get, delete and containsKey, one key at a time, with their status."""
+    store = _store(spark, d, 0, mem_table_max_size_bytes=1000)
+    text = lambda b: None if b is None else b.decode()
+    answers = [
+        store.put_status("key", "one", now_ms=NOW_MS).value, text(store.get("key", NOW_MS)), store.put_status(None, "v").value, store.put_status("", "v").value,
+        store.put_status("key", None).value, store.delete_status("absent", NOW_MS).value, store.delete_status("key", NOW_MS).value, text(store.get("key", NOW_MS)),
+        store.delete_status("key", NOW_MS).value, store.put_status("t", "timed", 1, NOW_MS).value, text(store.get("t", NOW_MS + 1000)), text(store.get("t", NOW_MS + 1001)),
+        str(store.contains_key("t", NOW_MS)).lower(), str(store.contains_key("key", NOW_MS)).lower(),
+        text(store.get("e", NOW_MS)) if store.put("e", "", now_ms=NOW_MS) else "refused", store.put_status("large", "x" * 1000, now_ms=NOW_MS).value,
+    ]
+    return spark.createDataFrame(list(enumerate(answers, 1)), "step int, answer string")
+
+
+@query("SELECT key, value, row_number() OVER (ORDER BY key) AS position, lead(key) OVER (ORDER BY key) AS peeked FROM vis WHERE key >= 'user-00003' AND key < 'user-00006'")
+def iterator_ordered(spark, d):
+    """A key range of a store through its iterator, with what a peek shows after each step."""
+    it, out = _store(spark, d).iterator("user-00003", "user-00006", NOW_MS), []
+    while it.has_next():
+        key, value = next(it)
+        peeked = it.peek()
+        out.append((key.decode(), value.decode(), len(out) + 1, peeked and peeked.decode()))
+    return spark.createDataFrame(out, "key string, value string, position bigint, peeked string")
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS size FROM (SELECT count(DISTINCT key) AS n FROM log GROUP BY seq // ((SELECT max(seq) FROM log) // 3 + 1))")
+def size_approx(spark, d):
+    """Entries over the runs of a store, overwritten ones too."""
+    store = _store(spark, d, 0)
+    for rows in _parts(spark, d, 3):
+        store.append(rows, order_by=["seq"])
+        store.flush(NOW_MS)
+    return spark.createDataFrame([(store.size_approx(),)], "size bigint")
+
+
+@query("SELECT key, NOT gone AS live FROM s WHERE op = 'P' AND expires_at_ms > 0")
+def ttl_after_flush_and_compaction(spark, d):
+    """Keys whose newest version expires, looked up in a store that has flushed and compacted them."""
+    store = _store(spark, d, 0)
+    for rows in _parts(spark, d, 2):
+        store.append(rows, order_by=["seq"])
+        store.flush(NOW_MS)
+    store.compact(_all_segments(store), NOW_MS)
+    wanted = merge.latest(events_versions(spark, d)).where("not tombstone and expires_at_ms > 0").select("key")
+    return store.contains(wanted, NOW_MS).select(K.shown("key").alias("key"), F.col("present").alias("live"))
+
+
+@query(f"SELECT key FROM l WHERE op = 'P' AND expires_at_ms > 0 AND {NOW_MS} > expires_at_ms")
+def ttl_cleanup(spark, d):
+    """The tombstones that a cleanup logs, for keys of a segment and of the log's tail."""
+    store = _store(spark, d, 0)
+    older, newer = _parts(spark, d, 2)
+    store.append(older, order_by=["seq"])
+    # Flushed when nothing has expired, so that the cleanup has to find what has since.
+    store.flush(0)
+    store.append(newer, order_by=["seq"])
+    behind = max(b.last for b in store.tail())
+    store.cleanup(NOW_MS)
+    return store.tail_rows().where(F.col("tombstone") & (F.col("seq") > behind)).select(K.shown("key").alias("key"))
+
+
+@query("""SELECT seq // ((SELECT max(seq) FROM log) // 4 + 1) + 1 AS segment_id, count(DISTINCT key) AS entries, min(key) AS min_key, max(key) AS max_key FROM log GROUP BY 1""")
+def flush_by_size(spark, d):
+    """Four batches, each over the size of a memory table, so each flushes itself."""
+    store = _store(spark, d, 4, mem_table_max_size_bytes=4096)
+    made = [(s.segment_id, s.entry_count, bytes.fromhex(s.min_key).decode(), bytes.fromhex(s.max_key).decode()) for s in store.manifest.current().segments]
+    return spark.createDataFrame(made, "segment_id bigint, entries bigint, min_key string, max_key string")
+
+
+@query("SELECT DISTINCT key, false AS present FROM log WHERE key IN (SELECT key FROM vis)")
+def delete_batch(spark, d):
+    """All live keys deleted at once, half of them in a segment, and then looked for."""
+    store = _store(spark, d, 2)
+    live = reads.list_keys(events_versions(spark, d), NOW_MS)
+    store.flush(NOW_MS)
+    store.delete_batch(live, NOW_MS)
+    return store.contains(live, NOW_MS).select(K.shown("key").alias("key"), "present")

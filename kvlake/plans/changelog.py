@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kvlake.functions.keys import key_column
@@ -18,6 +18,12 @@ def _millis(ts: str) -> str:
     return f"unix_millis(from_utc_timestamp(cast({ts} as timestamp), current_timezone()))"
 
 
+def _padded(number: str, width: int) -> Column:
+    """At least ``width`` digits; a longer number stays whole, so two never share a key."""
+    text = F.col(number).cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors delete, everything else puts; views live for a day."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -25,7 +31,7 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("seq"),
         F.when(deleted, "D").otherwise("P").alias("op"),
-        key_column(F.concat(F.lit("user-"), F.lpad(F.col("user_id").cast("string"), 5, "0"), F.lit("-"), (F.col("event_id") % 7).cast("string"))).alias("key"),
+        key_column(F.concat(F.lit("user-"), _padded("user_id", 5), F.lit("-"), (F.col("event_id") % 7).cast("string"))).alias("key"),
         F.when(~deleted, F.to_binary("props", F.lit("utf-8"))).alias("value"),
         F.when(F.col("event_type") == "view", 86400).otherwise(0).cast("bigint").alias("ttl_seconds"),
         F.expr(_millis("ts")).alias("ts_ms"),
@@ -45,7 +51,7 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     return o.select(
         F.col("o_orderkey").alias("seq"), F.lit("P").alias("op"),
-        key_column(F.concat(F.lit("customer-"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("key"),
+        key_column(F.concat(F.lit("customer-"), _padded("o_custkey", 9))).alias("key"),
         key_column("o_orderstatus").alias("value"), F.lit(0).cast("bigint").alias("ttl_seconds"), F.expr(_millis("o_orderdate")).alias("ts_ms"),
     )
 
@@ -53,7 +59,7 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOG_SQL = f"""
 WITH log AS (
   SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'D' ELSE 'P' END AS op,
-    'user-' || lpad(CAST(user_id AS VARCHAR), 5, '0') || '-' || CAST(event_id % 7 AS VARCHAR) AS key,
+    'user-' || lpad(CAST(user_id AS VARCHAR), greatest(5, CAST(length(CAST(user_id AS VARCHAR)) AS INTEGER)), '0') || '-' || CAST(event_id % 7 AS VARCHAR) AS key,
     CASE WHEN event_type = 'error' THEN NULL ELSE props END AS value,
     CASE WHEN event_type = 'view' THEN 86400 ELSE 0 END AS ttl, epoch_ns(ts) // 1000000 AS ts_ms, event_id // {SEGMENT_ROWS} AS segment_id
   FROM events

@@ -229,3 +229,85 @@ def test_stream_into_store_is_logged_once(spark, tmp_path):
         last = {f"k{i % 7}".encode(): (b"v%d" % i if i % 5 else None) for i in range(60)}
         assert state(store) == {k: v for k, v in last.items() if v is not None}
     assert store.append(ops, ["i"], ("ops", 0)) == 0
+
+
+def test_two_writers_that_saw_the_same_log_lose_nothing(spark, tmp_path):
+    """Equal and unequal numbers of rows; both list the log before either claims."""
+    import threading
+
+    for sizes in ((5, 5), (3, 7)):
+        root, met, got = str(tmp_path / f"w{sizes[0]}"), threading.Barrier(2), {}
+
+        def write(w, n, root=root, met=met, got=got):
+            waits = iter([lambda: met.wait(60)])
+            ops = spark.createDataFrame([("P", f"w{w}-{i}".encode(), b"v", 0, NOW) for i in range(n)], "op string, key binary, value binary, ttl_seconds bigint, ts_ms bigint")
+            got[w] = WriteAheadLog(spark, root).append(ops, -1, claim=lambda: next(waits, lambda: None)())
+
+        threads = [threading.Thread(target=write, args=(w, n)) for w, n in enumerate(sizes)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        rows = WriteAheadLog(spark, root).read().collect()
+        assert sorted(bytes(r["key"]).decode() for r in rows) == sorted(f"w{w}-{i}" for w, n in enumerate(sizes) for i in range(n))
+        assert sorted(r["seq"] for r in rows) == list(range(sum(sizes)))
+        assert sorted((b.first, b.last) for b in got.values())[0][1] + 1 == max(b.first for b in got.values())
+
+
+def test_a_number_that_was_flushed_meanwhile_is_not_claimed(spark, tmp_path):
+    log = WriteAheadLog(spark, str(tmp_path))
+    ops = spark.createDataFrame([("P", b"k", b"v", 0, NOW)], "op string, key binary, value binary, ttl_seconds bigint, ts_ms bigint")
+    floors = iter([-1, 4])
+    assert log.append(ops, lambda: next(floors, 4)).first == 5
+
+
+def test_manifest_versions_are_made_by_one_writer(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from kvlake.sources.filesystem import Files
+
+    files, target = Files(spark, str(tmp_path)), str(tmp_path / "v1.json")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: files.create(target, str(i)), range(16)))
+    assert won.count(True) == 1 and files.read(target) == str(won.index(True)) and files.names(str(tmp_path)) == ["v1.json"]
+
+
+def test_open_readers_survive_maintenance_until_vacuum(store):
+    for i in range(3):
+        store.put(f"k{i}", "v", now_ms=NOW)
+        store.flush(NOW)
+    store.put("k3", "v", now_ms=NOW)
+    opened, it = store.scan(now_ms=NOW), store.iterator(now_ms=NOW)
+    store.flush(NOW)
+    store.compact([s.segment_id for s in store.manifest.current().segments], NOW)
+    store.clear()
+    store.maintain(NOW)
+    assert opened.count() == 4 and len(list(it)) == 4 and state(store) == {}
+    assert store.vacuum(grace_ms=-1000) > 0 and state(store) == {} and not store.log.batches()
+    store.put("new", "v", now_ms=NOW)
+    assert state(store) == {b"new": b"v"}
+
+
+def test_flush_by_size_and_oversize(spark, tmp_path):
+    store = KVStore(spark, StoreConfig(data_directory=str(tmp_path / "s"), mem_table_max_size_bytes=60))
+    assert store.put_status("k", "x" * 58, now_ms=NOW) is Status.MEMTABLE_FULL and store.size(NOW) == 0
+    assert store.put("a", "x" * 30, now_ms=NOW) and store.tail_bytes() == 47 and store.segments_count() == 0
+    assert store.put("b", "x", now_ms=NOW) and store.segments_count() == 1 and store.tail_bytes() == 0 and store.size(NOW) == 2
+    assert store.segment_rows(1).count() == 2 and store.segment_rows(1, "b").count() == 1 and store.tail_rows().count() == 0
+
+
+def test_cleanup_and_services(store):
+    from kvlake.services import Service, services
+
+    store.put("key1", "v", ttl_seconds=1, now_ms=NOW)
+    store.put("key2", "v", now_ms=NOW)
+    store.flush(NOW)
+    assert store.cleanup(NOW + 1000) == 0 and store.cleanup(NOW + 2000) == 1 and store.cleanup(NOW + 2000) == 0
+    assert [r["tombstone"] for r in store.tail_rows().collect()] == [True] and state(store) == {b"key2": b"v"}
+    made = services(store)
+    assert made["flush"].execute_now() and store.segments_count() == 2 and made["compaction"].execute_now() and made["cleanup"].execute_now()
+    import threading
+
+    ran = threading.Event()
+    s = Service("x", 0.01, lambda: (ran.set(), 1 / 0)).start()
+    assert ran.wait(10) and s.shutdown(10) and isinstance(s.last_error, ZeroDivisionError)

@@ -18,6 +18,7 @@ so that one sequence per worker at most is partly filled.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import sys
 import zlib
@@ -44,10 +45,11 @@ class Encoder:
     A single space between two other characters always begins a new pre-token of the
     byte-level pattern, so what stands between such spaces can be encoded, and kept,
     by itself.  A text in which a space has white space beside it is encoded whole.
-    Strings of special tokens in a text are ordinary text.
+    ``added`` tokens have their own ids wherever their strings stand, and what is
+    between them is encoded by itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, keep: int = 120_000, longest: int = 48):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None, keep: int = 120_000, longest: int = 48):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
@@ -56,6 +58,8 @@ class Encoder:
         self._piece = self._plain._core_bpe.encode_single_piece
         self._marks = {m: self._bytes(self._plain.encode_ordinary(m)) for m in ",."}
         self._keep, self._longest = keep, longest
+        self._added = {t: self._bytes([i]) for t, i in (added or {}).items() if t}
+        self._at_added = re.compile("(" + "|".join(re.escape(t) for t in sorted(self._added, key=len, reverse=True)) + ")")
         self._cache: dict[str, bytes | None] = {}
         self._older: dict[str, bytes | None] = {}
 
@@ -88,6 +92,11 @@ class Encoder:
         return ids
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            return b"".join(self._added.get(part) or self.plain(part) for part in self._at_added.split(text) if part)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if not rest:
             return self.whole(text)
@@ -100,6 +109,12 @@ class Encoder:
         return self.whole(first) + b"".join(parts)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's file and their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f).get("added_tokens", ())}
+
+
 def piece_lengths(n: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[int, int]]:
     """(class, length) of the pieces of a document of ``n`` tokens, in their order;
     class 0 is the small one."""
@@ -182,6 +197,7 @@ def pack(
     classes: int = CLASSES,
     end_id: int = END_ID,
     with_ids: bool = True,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of all documents, packed: id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset and, ``with_ids``, the piece's token ids.
@@ -194,7 +210,7 @@ def pack(
     id_type = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(ranks_path, pattern)
+        encode = Encoder(ranks_path, pattern, added)
         packer = Packer(capacity, classes, TaskContext.get().partitionId() * WORKER_SPAN)
         kind = None
 

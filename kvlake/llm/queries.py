@@ -15,7 +15,8 @@ from .common import fold, table
 def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, packed into sequences of at most 2048."""
     return packing.pack(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False,
+        added=packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json")),
     )
 
 

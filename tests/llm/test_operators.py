@@ -54,13 +54,13 @@ def values(df):
 
 
 def test_packing_tiles_every_document(spark):
-    texts = [*ODD, *(prose(rng.randint(1, 3000), i) for i in range(60)), "it's 's  x \u00a0 y", "<|endoftext|> in a text"]
+    texts = [*ODD, *(prose(rng.randint(1, 3000), i) for i in range(60)), "it's 's  x \u00a0 y", "<|endoftext|> in a text", "a <|endoftext|>", "<|endoftext|><|endoftext|>b", "x<|endoftext|> y <|endof text|>"]
     df = frame(spark, texts)
-    out = packing.pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    added = packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added).collect()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     wanted = Counter()
     for r in df.select("doc_id", "text").collect():
         ids = tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1]

@@ -8,6 +8,8 @@ declared one; what is confirmed elsewhere is carved out as embedded media.
 
 from __future__ import annotations
 
+import re
+import bisect
 import hashlib
 import struct
 import zlib
@@ -107,12 +109,24 @@ def _gif(b: bytes, at: int) -> int:
     return -1
 
 
-def _jpeg(b: bytes, at: int) -> int:
+class Blob(bytes):
+    """Bytes that find a mark from wherever they are asked, having looked for it once."""
+
+    def first(self, mark: bytes, at: int) -> int:
+        """The first place of ``mark`` at or behind ``at``, or -1."""
+        places = self.__dict__.setdefault(mark, [])
+        if not places:
+            places += [m.start() for m in re.finditer(b"(?=" + re.escape(mark) + b")", self)] or [-1]
+        i = bisect.bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
+def _jpeg(b: Blob, at: int) -> int:
     p = at + 2
     while p + 4 <= len(b) and b[p] == 0xFF:
         mark, size = b[p + 1], struct.unpack_from(">H", b, p + 2)[0]
         if mark == 0xDA:
-            end = b.find(b"\xff\xd9", p + 2 + size)
+            end = b.first(b"\xff\xd9", p + 2 + size)
             return end + 2 if end >= 0 else -1
         if size < 2 or not 0xC0 <= mark <= 0xFE:
             return -1
@@ -129,13 +143,13 @@ def _bmp(b: bytes, at: int) -> int:
     return at + size if ok and at + size <= len(b) else -1
 
 
-def _pdf(b: bytes, at: int) -> int:
-    end = b.find(b"%%EOF", at)
-    return end + 5 if end >= 0 and b.find(b"startxref", at, end) >= 0 else -1
+def _pdf(b: Blob, at: int) -> int:
+    end = b.first(b"%%EOF", at)
+    return end + 5 if end >= 0 and 0 <= b.first(b"startxref", at) <= end - 9 else -1
 
 
-def _zip(b: bytes, at: int) -> int:
-    end = b.find(b"PK\x05\x06", at)
+def _zip(b: Blob, at: int) -> int:
+    end = b.first(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return -1
     size, start, note = struct.unpack_from("<IIH", b, end + 12)
@@ -210,6 +224,7 @@ def sniff(blob: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
     blob, or to within its padding, is the blob's own type; all else that is confirmed is embedded.
     Media inside confirmed embedded media are not looked for again."""
     own, found, behind = None, [], 0
+    blob = Blob(blob)
     for last, (name, before) in automaton().iter(blob.decode("latin-1")):
         at = last - before
         if at < behind or at < 0:

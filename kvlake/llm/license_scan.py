@@ -11,9 +11,12 @@ The base phrases are rules that are never suppressed.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -141,29 +144,55 @@ class Detector:
         plain = b" " + b" ".join(words) + b" "
         if not any(k in plain for k in NEEDED):
             return out
+        spaces = np.flatnonzero(np.frombuffer(plain, dtype=np.uint8) == 32)
+
+        def word(at: int) -> int:
+            return int(np.searchsorted(spaces, at))
+
         for phrase, label in self.base:
             at = plain.find(phrase)
             while at >= 0:
-                out["base"].append((plain.count(b" ", 0, at), label))
+                out["base"].append((word(at), label))
                 at = plain.find(phrase, at + 1)
         out["base"].sort()
-        kept: list[tuple[int, int, int, str]] = []
+        matches: dict[int, list[tuple[int, int, int, str]]] = {}
         has: dict[bytes, bool] = {}
-        for rule in self.rules:
+        for number, rule in enumerate(self.rules):
             for w in rule.words:
                 if w not in has:
                     has[w] = w in plain
-            if not all(has[w] for w in rule.words):
-                continue
-            for m in rule.pattern.finditer(plain):
-                a, b = m.span()
-                if not any(x <= a and b <= y and p >= rule.priority for x, y, p, _ in kept):
-                    kept = [k for k in kept if not (a <= k[0] and k[1] <= b and k[2] <= rule.priority)]
-                    kept.append((a, b, rule.priority, rule.label))
-        out["found"] = [(label, p, plain.count(b" ", 0, a - 1), plain.count(b" ", 0, b)) for a, b, p, label in sorted(kept)]
+            if all(has[w] for w in rule.words):
+                matches.setdefault(rule.priority, []).extend((m.start(), -m.end(), number, rule.label) for m in rule.pattern.finditer(plain))
+        out["found"] = [(label, p, word(a - 1), word(b)) for a, b, p, label in resolved(matches)]
         return out
 
 
+def resolved(matches: dict[int, list[tuple[int, int, int, str]]]) -> list[tuple[int, int, int, str]]:
+    """Of matches (start, -end, rule's number, label) by priority, those (start, end, priority, label) that lie in none
+    of higher priority, and in no longer one, or an equal one of an earlier rule, of the same; in order.
+
+    Priorities go from high to low.  Within one, by start and with the longer first, a match lies in another if it
+    ends no further than any before it; those of higher priorities are asked by start for how far they reach.
+    """
+    kept: list[tuple[int, int, int, str]] = []
+    starts: list[int] = []
+    reach: list[int] = []
+    for priority in sorted(matches, reverse=True):
+        furthest = -1
+        for a, minus_b, _, label in sorted(matches[priority]):
+            b = -minus_b
+            if b <= furthest:
+                continue
+            furthest = b
+            i = bisect.bisect_right(starts, a) - 1
+            if i < 0 or reach[i] < b:
+                kept.append((a, b, priority, label))
+        kept.sort()
+        starts = [k[0] for k in kept]
+        reach = list(itertools.accumulate((k[1] for k in kept), max))
+    return kept
+
+
 _detectors: list[Detector] = []
 
 

@@ -76,20 +76,27 @@ def rule_of(rules: tuple[UrlRule, ...], field: str) -> Column:
     return out
 
 
-def grams(text: Column, at: Column, order: int) -> Column:
-    """The ``order`` characters that end at position ``at`` of the text, which is led by as many marks."""
-    return F.substring(F.concat(F.lit("\x02" * (ORDER - 1)), text, F.lit("\x03")), at + F.lit(ORDER - order), F.lit(order))
+def places(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep, gram) of every place of the text, its end too: the ``ORDER`` characters up to there, marks before its
+    beginning.  The text is cut into characters once a row, so the time grows with its length alone."""
+    marked = F.concat(F.lit("\x02" * (ORDER - 1)), text, F.lit("\x03"))
+    cut_up = rows.select(*keep, F.split(marked, "").alias("__chars"))
+    at = F.sequence(F.lit(0), F.size("__chars") - ORDER)
+    every = F.transform(at, lambda i: F.concat(*(F.get("__chars", i + j) for j in range(ORDER))))
+    return cut_up.select(*keep, F.explode(every).alias("gram"))
 
 
 def language_models(labelled: DataFrame, smooth: float = SMOOTH) -> DataFrame:
     """(k, gram, ratio): the smoothed log-likelihood difference of every gram's last character
     after the others, from ``labelled`` (text, accepted); all rows count."""
-    places = labelled.select("text", "accepted", F.explode(F.sequence(F.lit(1), F.length("text") + 1)).alias("i"))
-    every = F.array(*(F.struct(F.lit(k).alias("k"), grams(F.col("text"), F.col("i"), k).alias("gram")) for k in range(1, ORDER + 1)))
+    longest = places(labelled, "text", "accepted").groupBy("gram").agg(
+        F.sum(F.col("accepted").cast("bigint")).alias("a"), F.sum((~F.col("accepted")).cast("bigint")).alias("r")
+    )
+    ends = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("gram", F.lit(ORDER + 1 - k), F.lit(k)).alias("gram")) for k in range(1, ORDER + 1)))
     counts = cut(
-        places.select("accepted", F.explode(every).alias("g"))
+        longest.select("a", "r", F.explode(ends).alias("g"))
         .groupBy("g.k", "g.gram")
-        .agg(F.sum(F.col("accepted").cast("bigint")).alias("a"), F.sum((~F.col("accepted")).cast("bigint")).alias("r"))
+        .agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
         .withColumn("context", F.substring("gram", F.lit(1), F.col("k") - 1))
         .withColumn("shorter", F.substring("gram", F.lit(2), F.col("k")))
     )
@@ -111,11 +118,10 @@ def language_models(labelled: DataFrame, smooth: float = SMOOTH) -> DataFrame:
 def score(urls: DataFrame, model: DataFrame, text: str, keep: list[str], bound: int = BROADCAST_ROWS) -> DataFrame:
     """``keep`` and ``score``: the mean log-likelihood difference of the characters, 0 where no gram was seen.
     Of ``model``, which is materialised, an order of up to ``bound`` grams is broadcast."""
-    numbered = urls.withColumn("__row", F.monotonically_increasing_id())
-    places = numbered.select("__row", *keep, F.col(text).alias("__text"), F.explode(F.sequence(F.lit(1), F.length(text) + 1)).alias("__i"))
-    places = places.select("__row", *keep, grams(F.col("__text"), F.col("__i"), ORDER).alias("__gram"))
+    numbered = cut(urls.select(*dict.fromkeys([*keep, text])).withColumn("__row", F.monotonically_increasing_id()))
+    at = places(numbered, text, "__row").withColumnRenamed("gram", "__gram").groupBy("__row", "__gram").agg(F.count("*").alias("__times"))
     # The longest gram at a place has the shorter ones as its ends.
-    seen = places.groupBy("__gram").agg(F.count("*").alias("__n"))
+    seen = at.groupBy("__gram").agg(F.count("*").alias("__n"))
     sizes = {r["k"]: r["count"] for r in model.groupBy("k").count().collect()}
     for k in range(1, ORDER + 1):
         own = model.where(F.col("k") == k).select(F.col("gram").alias(f"__g{k}"), F.col("ratio").alias(f"__r{k}"))
@@ -125,10 +131,13 @@ def score(urls: DataFrame, model: DataFrame, text: str, keep: list[str], bound:
     seen = cut(seen.select("__gram", ratio.alias("__ratio"), "__n"))
     size = seen.agg(F.count("*").alias("grams"), F.coalesce(F.sum("__n"), F.lit(0)).alias("places")).first()
     if size["grams"] <= bound:
-        found = places.join(F.broadcast(seen.drop("__n")), "__gram")
+        found = at.join(F.broadcast(seen.drop("__n")), "__gram")
     else:
-        found = join_spread(places, seen, "__gram", "__n", size["places"])
-    return found.groupBy("__row", *keep).agg(F.avg("__ratio").alias("score")).drop("__row")
+        found = join_spread(at, seen, "__gram", "__n", size["places"])
+    # Sums of whole multiples of a fraction do not depend on their order.
+    exact = F.round(F.col("__ratio") * F.lit(2.0**32)).cast("bigint")
+    own = found.groupBy("__row").agg((F.sum(exact * F.col("__times")) / F.sum("__times") / F.lit(2.0**32)).alias("score"))
+    return numbered.join(own, "__row").select(*keep, "score")
 
 
 def calibrated(scored: DataFrame, bins: int = 400, reach: float = 4.0) -> float:

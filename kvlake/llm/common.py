@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kvlake.sources.filesystem import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -35,31 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, as
-    ``spark.checkpoint.dir`` names it.  One is set only where there is none (tests, a
-    local session)."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kvlake-"))
-    return context.getCheckpointDir()
-
-
-#: Rows of an Arrow batch while a table is cut; what a worker holds of it stays small beside long texts.
-BATCH_ROWS = 500
-_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-@contextlib.contextmanager
-def short_batches(spark: SparkSession) -> Iterator[None]:
-    """Arrow batches of few rows for what runs inside; the session's setting comes back."""
-    before = spark.conf.get(_BATCH_SETTING)
-    if int(before) <= 0 or int(before) > BATCH_ROWS:
-        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH_SETTING, before)
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as it takes not to be a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -71,8 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     these are numbers of millions of digits.  A table's size is that of its files.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    with short_batches(df.sparkSession):
-        df.write.parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -151,12 +136,20 @@ def blobs(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+#: Rows of an Arrow batch; texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 500
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers of a local session import this package from wherever the driver did."""
+    """Lets Python workers of a local session import this package from wherever the driver did, and
+    limits the session's Arrow batches to ``BATCH_ROWS`` rows."""
     env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *known]))
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
 
 
 def map_text(
@@ -197,12 +190,13 @@ def add_columns(
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows_per_class: int, max_text_bytes: int = 1 << 20
+    docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows_per_class: int, max_text_bytes: int | None = None
 ) -> DataFrame:
     """At most about ``max_rows_per_class`` labelled documents of either class, chosen by a hash of the id.
 
     Only the chosen label rows, whose number is bounded, are broadcast; texts over
-    ``max_text_bytes`` are left out of the sample so that its size is bounded too.
+    ``max_text_bytes``, if given, are left out of the sample so that its size is bounded too.
+    Of an id that several documents have, one text is taken, the least.
     ``keep`` says which label rows may be learnt from.
     """
     usable = labels.where(keep & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
@@ -213,5 +207,8 @@ def labelled_sample(
         chance = F.when(F.col("label") == value, F.lit(int(scale * min(1.0, max_rows_per_class / n)))).otherwise(chance)
     chosen = usable.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(scale)) < chance)
     chosen = chosen.groupBy("doc_id").agg(F.max("label").alias("label"))
-    texts = docs.where(F.octet_length("text") <= max_text_bytes).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "label")
+    texts = docs.where("text is not null").select("doc_id", "text")
+    if max_text_bytes is not None:
+        texts = texts.where(F.octet_length("text") <= max_text_bytes)
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return found.select("text", "label")

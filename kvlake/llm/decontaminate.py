@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, importable, sliced, words_of
+from .common import blobs, cut, importable, sliced, words_of
 
 WINDOW = 10
 #: Benchmark text of one broadcast block; a block's hash set takes some 40 times that.
 BLOCK_BYTES = 2 << 20
+#: Blocks that are broadcast at a time, so at most 16 MB of benchmark text are.
+PASS_BLOCKS = 8
 _RAW_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -99,6 +101,7 @@ def benchmark_blocks(benchmark: DataFrame, n: int, id_col: str, text_col: str, b
     items = benchmark.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
+    items = items.distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
@@ -120,7 +123,9 @@ def find(
     spans [first, last) inside windows, merged) and ``leak_items`` (ids hit, sorted).
 
     A null or empty text has no words; a null item id is the empty id; an item
-    without words, or an empty benchmark, hits nothing.  Repeated rows are kept.
+    without words, or an empty benchmark, hits nothing.  Repeated rows are kept.  Columns of
+    the three names that ``docs`` has are replaced; ``prefix`` names them otherwise.  Of a
+    large benchmark ``PASS_BLOCKS`` blocks are held at a time, and the table is cut between.
     """
     importable(docs.sparkSession)
     names = [prefix + x for x in ("words", "spans", "items")]
@@ -130,6 +135,7 @@ def find(
     ddl += f", `{names[0]}` bigint, `{names[1]}` array<struct<first:int,last:int>>, `{names[2]}` array<string>"
     at = docs.columns.index(text_col)
     context = docs.sparkSession.sparkContext
+    pending: list = []
     for number, windows in enumerate(benchmark_blocks(benchmark, n, item_col, item_text_col, block_bytes)):
         held = context.broadcast(windows)
 
@@ -153,6 +159,11 @@ def find(
                 )
 
         docs = docs.mapInArrow(run, ddl)
+        pending.append(held)
+        if len(pending) == PASS_BLOCKS:
+            docs = cut(docs)
+            while pending:
+                pending.pop().destroy()
     return docs
 
 
@@ -173,8 +184,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", mode:
     out of the text and drops a document only if no word is left of it.  Documents
     that are not hit, empty and null ones among them, stay as they are.
     """
-    found = find(docs, benchmark, text_col=text_col, prefix="__leak_", **options)
-    clean = F.size("__leak_spans") == 0
+    prefix = "__leak_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    found = find(docs, benchmark, text_col=text_col, prefix=prefix, **options)
+    clean = F.size(prefix + "spans") == 0
     if mode == "documents":
         return found.where(clean).select(*docs.columns)
     at, spans_at, names = docs.columns.index(text_col), len(docs.columns) + 1, docs.columns

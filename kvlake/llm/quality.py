@@ -8,6 +8,7 @@ compiled into one Spark column expression over the statistics columns.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, labelled_sample
+from .common import add_columns, free_names, labelled_sample
 
 SAMPLE = 8000
 TREES = 16
@@ -25,6 +26,8 @@ STATS = (
     "longest_run", "distinct", "marked_words", "upper_words", "non_ascii",
 )
 _MARKS = b"*#$%&+=<>@^_{}[]\\/~`"
+#: A mark that is there three times or more in a row.
+_REPEATED = re.compile(rb"([" + re.escape(_MARKS) + rb"])\1\1+")
 #: Classes of bytes, for one look-up over a text: 1 upper, 2 digit, 3 mark, 4 "!", 5 "|", 6 line end, 7 above ASCII.
 _CLASS = bytes(
     1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b in _MARKS else 4 if b == 33 else 5 if b == 124 else 6 if b == 10 else 7 if b > 127 else 0
@@ -52,7 +55,7 @@ def statistics(text: bytes) -> list[float]:
         else:
             run, before = 0, w
     marks = int(counts[3])
-    most = max(text.count(m) for m in (b"***", b"###", b"$$$", b"%%%", b"&&&"))
+    most = len(_REPEATED.findall(text)) if marks else 0
     upper_words = len([w for w in words if w.isupper()]) if counts[1] > 2 else 0
     marked = len([w for w in words if w[-1] in _MARKS]) if marks else 0
     return [
@@ -207,4 +210,7 @@ def score(docs: DataFrame, model: Ensemble, text_col: str = "text", name: str =
 
 def keep_good(docs: DataFrame, model: Ensemble, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, their columns unchanged."""
-    return score(docs, model, text_col, "__score").where(F.col("__score") >= least).select(*docs.columns)
+    name, prefix = free_names(docs, "__score", "__q")
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return score(docs, model, text_col, name, prefix).where(F.col(name) >= least).select(*docs.columns)

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import add_columns, map_text
+from .common import add_columns, free_names, map_text
 
 ALL = frozenset(range(256))
 
@@ -391,9 +391,10 @@ def redact(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RU
                 parts += [text[at:start], f"[{rules[rule].kind}]"]
                 at, k = end, k + 1
             out.append("".join([*parts, text[at:]]))
-        return {"__redacted": out}
+        return {name: out}
 
     from pyspark.sql import functions as F
 
-    found = add_columns(docs, text_col, rows, {"__redacted": pa.string()}, "__redacted string")
-    return found.withColumn(text_col, F.coalesce("__redacted", text_col)).select(*docs.columns)
+    [name] = free_names(docs, "__redacted")
+    found = add_columns(docs, text_col, rows, {name: pa.string()}, f"`{name}` string")
+    return found.withColumn(text_col, F.coalesce(name, text_col)).select(*docs.columns)

@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names
 
 SHARDS = 16
 #: Records that a range is to have, the least and the largest number of ranges, and sampled keys per range.
@@ -133,8 +133,12 @@ def shard(
 def write(docs: DataFrame, path: str, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the documents themselves by shard (a folder each, in slot order within a file).
 
-    Rows are matched by id and digest; ids must be unique for this form.
+    Rows are numbered and the table is cut first, so ids may repeat or be null.  Columns of ``docs``
+    named ``shard`` or ``slot`` are replaced.
     """
-    plan = shard(docs, shards, id_col, text_col).select(id_col, "shard", "slot")
-    out = docs.join(plan.withColumnRenamed(id_col, "__id"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    docs = docs.drop("shard", "slot")
+    row, own = free_names(docs, "__row", "__own")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    plan = shard(numbered, shards, row, text_col).select(F.col(row).alias(own), "shard", "slot")
+    out = numbered.join(plan, F.col(row) == F.col(own)).drop(row, own)
     out.repartition("shard", F.floor(F.col("slot") / F.lit(RANGE_ROWS))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, LOWER_BYTES, add_columns, blobs, cut, importable, join_salted, join_spread, sliced
+from .common import HOT_ROWS, LOWER_BYTES, add_columns, blobs, cut, free_names, importable, join_salted, join_spread, sliced
 
 SEED = 42
 SHINGLE = 3
@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``docs`` with one row of every component: the one with the smallest id."""
-    marked = with_fingerprint(docs.withColumn("__row", F.monotonically_increasing_id()), text_col, "__fp", shingle)
-    narrow = cut(marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"), "__row"))
+    mark, own, other = free_names(docs, "__fp", "__id", "__gone_fp")
+    marked = with_fingerprint(docs, text_col, mark, shingle)
+    narrow = cut(marked.select(F.col(id_col).alias("id"), F.col(mark).alias("fp")))
     classes = cluster(narrow, "id", radius).drop("n")
     # The rows that go are named by id and fingerprint; of rows that agree in both, which is
     # rare, the extra ones are dropped by a second, exact step only if there are any.
@@ -193,10 +194,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     first = ids.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("first_fp"))
     kept = F.col("id").eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("first_fp"))
     ids = cut(ids.join(first, "root").select("id", "fp", "n", kept.alias("kept")))
-    gone = ids.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("fp").alias("__gone_fp"))
-    out = marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__gone_fp")), "left_anti")
+    gone = ids.where(~F.col("kept")).select(F.col("id").alias(own), F.col("fp").alias(other))
+    out = marked.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other)), "left_anti")
     if not ids.where("kept and n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__fp"])
+        out = out.dropDuplicates([id_col, mark])
     return out.select(*docs.columns)
 
 
@@ -471,11 +472,12 @@ def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     th = F.min(F.when(named, F.col("th")))
     first = cut(ids.groupBy("root").agg(th.alias("first"), F.count("*").alias("rows")))
     ids = cut(join_spread(ids, first, "root", "rows", ids.count()).select("id", "th", "n", (named & (F.col("th") == F.col("first"))).alias("kept")))
-    gone = ids.where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("th").alias("__gone"))
+    mark, own, other = free_names(docs, "__th", "__id", "__gone")
+    gone = ids.where(~F.col("kept")).select(F.col("id").alias(own), F.col("th").alias(other))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    marked = docs.withColumn("__th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    out = marked.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__gone")), "left_anti")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    out = marked.join(gone, F.col(id_col).eqNullSafe(F.col(own)) & (F.col(mark) == F.col(other)), "left_anti")
     if not ids.where("kept and n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__th"])
+        out = out.dropDuplicates([id_col, mark])
     return out.select(*docs.columns)

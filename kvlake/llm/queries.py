@@ -93,11 +93,35 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of the secret scan, which SQL can express."""
+    return op5_secret_automaton(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored payloads as they are read back."""
+    return op7_signature_sniffing(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of the base phrases."""
+    return op8_license_signatures(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def shard_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shards together: rows, bytes, and whether every shard's slots are gapless from 0."""
+    rows = op10_sampled_splitters(spark, sf_dir)
+    each = rows.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.sum("slot").alias("slots"))
+    gapless = F.bool_and((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("slots") * 2 == F.col("n") * (F.col("n") - 1)))
+    return each.agg(F.sum("n").alias("rows"), F.sum("bytes").alias("bytes"), gapless.alias("gapless"))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_harmonic_packing, op2_ngram_decontamination, op3_url_language_ratio, op4_toxicity_convolution, op5_secret_automaton,
         op6_quality_rules, op7_signature_sniffing, op8_license_signatures, op9_simhash_covering, op10_sampled_splitters,
+        secret_base_counts, media_payloads, license_base_places, shard_totals,
     )
 }
 
@@ -111,7 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op2_ngram_decontamination": OP2_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return dict(SQL) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 _WORDS = (
@@ -141,3 +165,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
 """
+
+_TEXT = "coalesce(text, '')"
+SQL = {
+    "op2_ngram_decontamination": OP2_SQL,
+    "secret_base_counts": f"""
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all({_TEXT}, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all({_TEXT}, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all({_TEXT}, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM documents""",
+    "media_payloads": f"""
+WITH d AS (SELECT doc_id, encode({_TEXT}) AS b FROM documents),
+p AS (SELECT doc_id, octet_length(b) AS n, b || unhex(repeat('00', CAST(greatest(64, (octet_length(b) + 63) // 64 * 64) - octet_length(b) AS INTEGER))) AS payload FROM d)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_sha256 FROM p""",
+    "license_base_places": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')),
+h AS (
+  SELECT r, i - 1 AS place, 'mit' AS label FROM i WHERE w[i] = 'mit' AND w[i + 1] = 'license'
+  UNION ALL SELECT r, i - 1, 'apache' FROM i WHERE w[i] = 'apache' AND w[i + 1] = 'license'
+  UNION ALL SELECT r, i - 1, 'gpl' FROM i WHERE w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license'
+), n AS (SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM h GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN n USING (r)""",
+    "shard_totals": f"SELECT count(*) AS rows, CAST(sum(strlen({_TEXT}) + 1) AS BIGINT) AS bytes, true AS gapless FROM documents",
+}

@@ -119,7 +119,7 @@ def score(urls: DataFrame, model: DataFrame, text: str, keep: list[str], bound:
     """``keep`` and ``score``: the mean log-likelihood difference of the characters, 0 where no gram was seen.
     Of ``model``, which is materialised, an order of up to ``bound`` grams is broadcast."""
     numbered = cut(urls.select(*dict.fromkeys([*keep, text])).withColumn("__row", F.monotonically_increasing_id()))
-    at = places(numbered, text, "__row").withColumnRenamed("gram", "__gram").groupBy("__row", "__gram").agg(F.count("*").alias("__times"))
+    at = places(numbered, text, "__row").withColumnRenamed("gram", "__gram")
     # The longest gram at a place has the shorter ones as its ends.
     seen = at.groupBy("__gram").agg(F.count("*").alias("__n"))
     sizes = {r["k"]: r["count"] for r in model.groupBy("k").count().collect()}
@@ -136,7 +136,7 @@ def score(urls: DataFrame, model: DataFrame, text: str, keep: list[str], bound:
         found = join_spread(at, seen, "__gram", "__n", size["places"])
     # Sums of whole multiples of a fraction do not depend on their order.
     exact = F.round(F.col("__ratio") * F.lit(2.0**32)).cast("bigint")
-    own = found.groupBy("__row").agg((F.sum(exact * F.col("__times")) / F.sum("__times") / F.lit(2.0**32)).alias("score"))
+    own = found.groupBy("__row").agg((F.sum(exact) / F.count("*") / F.lit(2.0**32)).alias("score"))
     return numbered.join(own, "__row").select(*keep, "score")
 
 

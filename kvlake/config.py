@@ -30,12 +30,16 @@ class StoreConfig:
     bucket_high: float = 1.5
     #: Rows of one segment file; sizes the range partitions of a flush or compaction.
     rows_per_file: int = 2_000_000
+    #: False-positive rate of a segment's Bloom filter.
+    bloom_error: float = 0.01
 
     def __post_init__(self):
         for field in dataclasses.fields(self):
             value = getattr(self, field.name)
             if isinstance(value, (int, float)) and not value > 0:
                 raise ValueError(f"{field.name} must be positive")
+        if not self.bloom_error < 1:
+            raise ValueError("bloom_error must be below 1")
         if not self.data_directory:
             raise ValueError("data_directory must not be empty")
         if not isinstance(self.compaction_strategy, CompactionStrategy):

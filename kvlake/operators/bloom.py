@@ -8,7 +8,12 @@ word, not by gathering a segment's keys anywhere.
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 import math
+from array import array
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,3 +61,44 @@ def might_contain(probes: DataFrame, filters: DataFrame, by: str, bits: str = "b
     at = at.withColumn("word", F.floor(F.col("at") / 64))
     hit = F.coalesce(F.expr("(mask & shiftleft(1L, cast(at % 64 as int))) != 0"), F.lit(False))
     return at.join(filters, [by, "word"], "left").groupBy(by, "key").agg(F.bool_and(hit).alias("maybe"))
+
+
+@dataclass(frozen=True)
+class Filter:
+    """One filter at the driver, with the bits that ``build`` sets: for segments whose number of keys is bounded."""
+
+    bits: int
+    hashes: int
+    words: array
+
+    @classmethod
+    def of(cls, keys: DataFrame, n: int, error: float = 0.01) -> Filter:
+        """The filter of the ``n`` keys of ``keys`` (key); at the default rate the driver gets a word of 64 bits for every six or seven keys."""
+        bits, hashes = bits_and_hashes(n, error)
+        sized = keys.select(F.lit(0).alias("one"), "key", F.lit(bits).cast("bigint").alias("bits"), F.lit(hashes).cast("bigint").alias("hashes"))
+        words = array("q", bytes(8 * -(-bits // 64)))
+        for word, mask in zip(*(c.to_pylist() for c in build(sized, "one").select("word", "mask").toArrow().columns), strict=True):
+            words[word] = mask
+        return cls(bits, hashes, words)
+
+    def positions(self, key: bytes) -> list[int]:
+        digest = hashlib.md5(key, usedforsecurity=False).digest()
+        h1, h2 = int.from_bytes(digest[:4]), int.from_bytes(digest[4:8])
+        return [(h1 + i * h2) % self.bits for i in range(self.hashes)]
+
+    def might_contain(self, key: bytes) -> bool:
+        return all(self.words[at // 64] >> (at % 64) & 1 for at in self.positions(key))
+
+    def set_bits(self) -> list[int]:
+        return [64 * n + i for n, word in enumerate(self.words) if word for i in range(64) if word >> i & 1]
+
+    def to_json(self) -> str:
+        """Bits, hash functions, and the words as little-endian bytes in base 64."""
+        raw = b"".join(w.to_bytes(8, "little", signed=True) for w in self.words)
+        return json.dumps({"bits": self.bits, "hashes": self.hashes, "words": base64.b64encode(raw).decode()})
+
+    @classmethod
+    def from_json(cls, text: str) -> Filter:
+        got = json.loads(text)
+        raw = base64.b64decode(got["words"])
+        return cls(got["bits"], got["hashes"], array("q", (int.from_bytes(raw[i : i + 8], "little", signed=True) for i in range(0, len(raw), 8))))

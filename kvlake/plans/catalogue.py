@@ -642,3 +642,41 @@ def delete_batch(spark, d):
     store.flush(NOW_MS)
     store.delete_batch(live, NOW_MS)
     return store.contains(live, NOW_MS).select(K.shown("key").alias("key"), "present")
+
+
+THIRDS = """, t AS (SELECT seq // ((SELECT max(seq) FROM log) // 3 + 1) + 1 AS segment_id, key FROM log), n AS (SELECT segment_id, count(DISTINCT key) AS n FROM t GROUP BY segment_id),
+  z AS (SELECT segment_id, n, """ + _BITS + """ AS bits FROM n), y AS (SELECT *, greatest(1, CAST(floor(bits / greatest(n, 1) * ln(2) + 0.5) AS BIGINT)) AS hashes FROM z),
+  pos AS (SELECT DISTINCT segment_id, key AS k, bits, hashes FROM t JOIN y USING (segment_id)),
+  f AS (SELECT DISTINCT segment_id, (""" + _HEX.format(1) + " + i * " + _HEX.format(9) + """) % bits AS at FROM (SELECT *, unnest(range(0, hashes)) AS i FROM pos))"""
+
+
+def _thirds(spark, d) -> KVStore:
+    """A store of three segments, opened again."""
+    store = _store(spark, d, 0)
+    for rows in _parts(spark, d, 3):
+        store.append(rows, order_by=["seq"])
+        store.flush(NOW_MS)
+    return KVStore(spark, store.root)
+
+
+@query(THIRDS + " SELECT segment_id, f.at AS bit FROM f")
+def store_bloom_saved(spark, d):
+    """The bits of the filters saved beside a store's segments, as loaded by one that opens it."""
+    store = _thirds(spark, d)
+    bits = [(s.segment_id, bit) for s in store.manifest.current().segments for bit in store.bloom(s).set_bits()]
+    return spark.createDataFrame(bits, "segment_id bigint, bit bigint")
+
+
+PROBED = f"(SELECT p.key AS k FROM {PROBES_SQL} WHERE p.key <> '' UNION SELECT min(key) || '-absent' FROM vis UNION SELECT max(key) FROM vis)"
+
+
+@query(THIRDS + f""", b AS (SELECT segment_id, min(key) AS lo, max(key) AS hi FROM t GROUP BY segment_id),
+  pr AS (SELECT segment_id, k, bits, hashes FROM {PROBED}, y), pp AS (SELECT segment_id, k, ({_HEX.format(1)} + i * {_HEX.format(9)}) % bits AS at FROM (SELECT *, unnest(range(0, hashes)) AS i FROM pr)),
+  r AS (SELECT pp.segment_id, k, bool_and(f.at IS NOT NULL) AS maybe FROM pp LEFT JOIN f ON pp.segment_id = f.segment_id AND pp.at = f.at GROUP BY ALL)
+  SELECT k AS key, segment_id FROM r JOIN b USING (segment_id) WHERE maybe AND k BETWEEN lo AND hi""")
+def store_bloom_prunes(spark, d):
+    """The segments that a point read of a key opens, by their bounds and filters."""
+    store = _thirds(spark, d)
+    ends = reads.list_keys(events_versions(spark, d), NOW_MS).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    probes = {k.encode() for k in PROBES if k} | {bytes(ends["lo"]) + b"-absent", bytes(ends["hi"])}
+    return spark.createDataFrame([(k.decode(), s.segment_id) for k in probes for s in store.candidates(k)], "key string, segment_id bigint")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .config import CompactionStrategy, StoreConfig
 from .functions.keys import ENTRY_HEADER, Key, encode, entry_bytes, in_range, prefix_end
 from .operators import merge, reads
+from .operators.bloom import Filter
 from .operators.compaction import compacted, may_drop_tombstones
 from .operators.planning import Planner, SegmentInfo, SizeTieredPlanner, ThresholdPlanner
 from .sources import segments
@@ -26,6 +27,8 @@ from .sources.wal import Batch, WriteAheadLog
 
 #: How long readers may go on with what has been replaced.
 GRACE_MS = 60 * 60 * 1000
+#: Segments' filters that a store keeps at the driver, of 1.2 MB at most at the default rate.
+KEPT_FILTERS = 64
 OPS = "op string, key binary, value binary, ttl_seconds bigint, ts_ms bigint"
 
 
@@ -79,16 +82,33 @@ class KVStore:
             else SizeTieredPlanner(c.min_threshold, c.max_threshold, c.bucket_low, c.bucket_high)
         )
         self.last_error: Exception | None = None
+        self._filters: dict[str, Filter] = {}
 
     # -- what is there -----------------------------------------------------
 
-    def rows(self, start: bytes | None = None, end: bytes | None = None, version: Version | None = None) -> DataFrame:
-        """All versions: live segments that may hold keys of [start, end), and the log's tail.
+    def bloom(self, segment: Segment) -> Filter | None:
+        """The segment's saved filter, if it has one; the last ``KEPT_FILTERS`` are kept."""
+        if segment.bloom is None:
+            return None
+        if segment.bloom not in self._filters:
+            while len(self._filters) >= KEPT_FILTERS:
+                self._filters.pop(next(iter(self._filters)))
+            self._filters[segment.bloom] = Filter.from_json(self.log.files.read(segment.bloom))
+        return self._filters[segment.bloom]
+
+    def candidates(self, key: Key, version: Version | None = None) -> list[Segment]:
+        """The live segments that may hold ``key``, by their bounds and filters; no job."""
+        k = encode(key)
+        near = [s for s in (version or self.manifest.current()).segments if s.overlaps(k, k + b"\0")]
+        return [s for s in near if s.bloom is None or self.bloom(s).might_contain(k)]
+
+    def rows(self, start: bytes | None = None, end: bytes | None = None, version: Version | None = None, key: bytes | None = None) -> DataFrame:
+        """All versions: live segments that may hold keys of [start, end), or ``key``, and the log's tail.
         Recovery is this union: what was logged and not flushed is read from the log."""
         # Log batches first: if a flush commits in between, a row is met twice, never missed.
         batches = self.log.batches()
         v = version or self.manifest.current()
-        paths = [s.path for s in v.segments if s.overlaps(start, end)]
+        paths = [s.path for s in (self.candidates(key, v) if key else v.segments) if s.overlaps(start, end)]
         tail = [b for b in batches if b.last > v.flushed_seq]
         parts = []
         if paths:
@@ -127,7 +147,7 @@ class KVStore:
         if not key:
             return None
         k = encode(key)
-        row = reads.point_get(self.rows(k, k + b"\0"), k, self._now(now_ms)).select("value").first()
+        row = reads.point_get(self.rows(key=k), k, self._now(now_ms)).select("value").first()
         return None if row is None else bytes(row["value"])
 
     def contains_key(self, key: Key | None, now_ms: int | None = None) -> bool:
@@ -238,7 +258,7 @@ class KVStore:
             return None
         rows = merge.as_tombstones(merge.latest(merge.versions(self.log.read(v.flushed_seq, tail))), self._now(now_ms))
         expected = sum(b.last - b.first + 1 for b in tail)
-        made = segments.write(rows, self.root, v.next_segment_id, 0, self._now(now_ms), expected, self.config.rows_per_file)
+        made = segments.write(rows, self.root, v.next_segment_id, 0, self._now(now_ms), expected, self.config.rows_per_file, self.config.bloom_error)
         streams = dict(v.streams)
         for b in tail:
             if b.token:
@@ -273,7 +293,7 @@ class KVStore:
         others = [s for s in v.segments if s.segment_id not in chosen_ids]
         level = self.planner.output_level([i for i in infos if i.segment_id in chosen_ids])
         rows = compacted(segments.read(self.spark, [s.path for s in chosen]), self._now(now_ms), may_drop_tombstones(chosen, others))
-        made = segments.write(rows, self.root, v.next_segment_id, level, self._now(now_ms), sum(s.entry_count for s in chosen), self.config.rows_per_file)
+        made = segments.write(rows, self.root, v.next_segment_id, level, self._now(now_ms), sum(s.entry_count for s in chosen), self.config.rows_per_file, self.config.bloom_error)
         self._commit(v, made, next_segment_id=v.next_segment_id + 1, segments=(*others, *([made] if made else [])))
         return made
 

@@ -205,6 +205,25 @@ def test_bloom_contract(spark):
     assert bloom.might_contain(probes, filters, "s").where("maybe").count() < 50
 
 
+def test_point_reads_open_only_segments_whose_filter_holds_the_key(spark, store, monkeypatch):
+    for part in range(3):
+        store.put_batch(keys(spark, b"a", *(b"%d-%d" % (part, i) for i in range(50)), b"z").withColumn("value", F.col("key")), now_ms=NOW)
+        store.flush(NOW)
+    opened = KVStore(spark, store.root)
+    ids = [s.segment_id for s in opened.manifest.current().segments]
+    assert [s.segment_id for s in opened.candidates("a")] == ids and opened.candidates("b-absent") == []
+    assert [s.segment_id for s in opened.candidates("1-7")] == ids[1:2]
+    assert opened.get("1-7", NOW) == b"1-7" and opened.get("b-absent", NOW) is None
+    saved = opened.bloom(opened.manifest.current().segments[0])
+    assert bloom.Filter.from_json(saved.to_json()) == saved and len(saved.set_bits()) > 50
+    # A segment with too many keys for a filter at the driver has none, and is read as before.
+    monkeypatch.setattr("kvlake.sources.segments.BLOOM_KEYS", 10)
+    made = store.compact(ids, NOW)
+    assert made.bloom is None and KVStore(spark, store.root).get("2-3", NOW) == b"2-3"
+    store.vacuum(0, 2**60)
+    assert KVStore(spark, store.root).get("1-7", NOW) == b"1-7"
+
+
 def test_filters_reach_the_scan(spark, tmp_path):
     rows = spark.range(100).select(K.key_column(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key"), F.lit(b"v").alias("value"), F.lit(0).cast("bigint").alias("expires_at_ms"), F.lit(False).alias("tombstone"), F.col("id").alias("seq"))
     rows.write.parquet(str(tmp_path / "s"))

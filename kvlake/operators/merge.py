@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from kvlake.functions.keys import expires_at, is_expired
 
 
-def versions(log: DataFrame) -> DataFrame:
-    """Change-log rows as versions."""
+def versions(log: DataFrame, *more: str) -> DataFrame:
+    """Change-log rows as versions; ``more`` columns stay."""
     deleted = F.col("op") == "D"
     return log.select(
         "key",
@@ -24,13 +24,15 @@ def versions(log: DataFrame) -> DataFrame:
         F.when(deleted, F.lit(0)).otherwise(expires_at()).cast("bigint").alias("expires_at_ms"),
         deleted.alias("tombstone"),
         "seq",
+        *more,
     )
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """The newest version of each key.  The ranking is limited before the exchange too
+def latest(rows: DataFrame, by: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """The newest version of each key, by arrival; ``by=("ts_ms", "seq")`` takes the time of
+    writing instead, where rows have it.  The ranking is limited before the exchange too
     (a hot key sends one row per task), so no key gathers its versions in one task."""
-    newest = Window.partitionBy("key").orderBy(F.col("seq").desc())
+    newest = Window.partitionBy("key").orderBy(*(F.col(c).desc() for c in by))
     return rows.withColumn("__rank", F.row_number().over(newest)).where("__rank = 1").drop("__rank")
 
 

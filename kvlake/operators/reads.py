@@ -23,6 +23,11 @@ def scan(rows: DataFrame, now_ms: int, start: Key | None = None, end: Key | None
     return out.orderBy("key") if ordered else out
 
 
+def entries(rows: DataFrame, start: Key | None = None, end: Key | None = None) -> DataFrame:
+    """The newest version of each key with start <= key < end, whatever it says, in key order."""
+    return latest(rows.where(in_range(start, end))).orderBy("key")
+
+
 def prefix_scan(rows: DataFrame, prefix: Key, now_ms: int) -> DataFrame:
     return visible(rows.where(has_prefix(prefix)), now_ms)
 

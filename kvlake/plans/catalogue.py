@@ -680,3 +680,50 @@ def store_bloom_prunes(spark, d):
     ends = reads.list_keys(events_versions(spark, d), NOW_MS).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
     probes = {k.encode() for k in PROBES if k} | {bytes(ends["lo"]) + b"-absent", bytes(ends["hi"])}
     return spark.createDataFrame([(k.decode(), s.segment_id) for k in probes for s in store.candidates(k)], "key string, segment_id bigint")
+
+
+@query(f""", e AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) = 1)
+  SELECT key, value, seq, expires_at_ms FROM e WHERE op = 'P' AND NOT (expires_at_ms > 0 AND {NOW_MS} > expires_at_ms)""")
+def latest_by_event_time(spark, d):
+    """The state if the time of writing decides which version is the newest, not the order of arrival."""
+    newest = merge.latest(merge.versions(events_log(spark, d), "ts_ms"), ("ts_ms", "seq"))
+    return rows_out(merge.live(newest, NOW_MS))
+
+
+@query("SELECT key, value, op = 'D' AS tombstone, expires_at_ms FROM l WHERE key >= 'user-00002' AND key < 'user-00009'")
+def entries_with_tombstones(spark, d):
+    """The newest entries of a key range of a store, deleted ones too; the second half is in the log."""
+    store = _store(spark, d, 0)
+    older, newer = _parts(spark, d, 2)
+    store.append(older, order_by=["seq"])
+    store.flush(0)
+    store.append(newer, order_by=["seq"])
+    rows = store.entries("user-00002", "user-00009")
+    return rows.select(K.shown("key").alias("key"), K.shown("value").alias("value"), "tombstone", "expires_at_ms")
+
+
+SQL["store_ingest"] = """SELECT 'order/' || CAST(o_orderkey AS VARCHAR) AS key, CAST(o_custkey AS VARCHAR) || '|' || o_orderstatus AS value FROM orders"""
+
+
+@query(None)
+def store_ingest(spark, d):
+    """A table of another shape put into a store, half of it flushed."""
+    store, orders = _store(spark, d, 0), spark.read.parquet(f"{d}/orders.parquet")
+    for odd in (0, 1):
+        store.ingest(orders.where(F.col("o_orderkey") % 2 == odd), "concat('order/', o_orderkey)", "concat(o_custkey, '|', o_orderstatus)", now_ms=NOW_MS)
+        if not odd:
+            store.flush(NOW_MS)
+    return store.scan(now_ms=NOW_MS).select(K.shown("key").alias("key"), K.shown("value").alias("value"))
+
+
+@query("""SELECT 'put' AS call, key, CASE WHEN value IS NULL THEN 'INVALID_INPUT' WHEN strlen(key) + 16 + strlen(value) > 36 THEN 'MEMTABLE_FULL' ELSE 'SUCCESS' END AS status, count(*) AS rows FROM log GROUP BY ALL
+  UNION ALL SELECT 'delete', key, CASE WHEN bool_or(strlen(key) + 16 + strlen(value) <= 36) THEN 'SUCCESS' ELSE 'KEY_NOT_FOUND' END, 1 FROM log GROUP BY key
+  UNION ALL SELECT 'delete', '', 'INVALID_INPUT', 1""")
+def batch_statuses(spark, d):
+    """What becomes of each row of a batch put, with null and oversize values, and of a batch delete of all its keys."""
+    store = _store(spark, d, 0, mem_table_max_size_bytes=36)
+    put = store.put_batch_status(events_log(spark, d).select("key", "value"), now_ms=NOW_MS)
+    wanted = events_log(spark, d).select("key").distinct().union(spark.createDataFrame([(bytearray(),)], "key binary"))
+    deleted = store.delete_batch_status(wanted, NOW_MS)
+    both = put.select(F.lit("put").alias("call"), "key", "status").union(deleted.select(F.lit("delete"), "key", "status"))
+    return both.groupBy("call", K.shown("key").alias("key"), "status").agg(F.count("*").alias("rows"))

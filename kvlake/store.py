@@ -12,7 +12,7 @@ from enum import Enum
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CompactionStrategy, StoreConfig
@@ -134,6 +134,11 @@ class KVStore:
         """A snapshot in key order; rows come a partition at a time."""
         return KeyValueIterator(self.scan(start, end, now_ms, ordered=True).select("key", "value").toLocalIterator())
 
+    def entries(self, start: Key | None = None, end: Key | None = None) -> DataFrame:
+        """The newest version of each key of a range in key order, tombstones and expired ones too."""
+        low, high = (None if k is None else encode(k) for k in (start, end))
+        return reads.entries(self.rows(low, high), low, high)
+
     def list_keys(self, now_ms: int | None = None) -> DataFrame:
         return reads.list_keys(self.rows(), self._now(now_ms))
 
@@ -212,6 +217,23 @@ class KVStore:
         )
         return self.append(ops, order_by)
 
+    def ingest(self, rows: DataFrame, key: Column | str, value: Column | str, ttl_seconds: int = 0, now_ms: int | None = None, order_by: list | None = None) -> int:
+        """Puts rows of any shape: ``key`` and ``value`` are columns or SQL expressions; text goes in as UTF-8."""
+        made = [F.expr(c) if isinstance(c, str) else c for c in (key, value)]
+        # Columns of ``rows`` named key or value give way; those to order by stay.
+        kept = [c for c in rows.columns if c in (order_by or []) and c not in ("key", "value")]
+        return self.put_batch(rows.select(*kept, made[0].cast("binary").alias("key"), made[1].cast("binary").alias("value")), ttl_seconds, now_ms, order_by)
+
+    def put_batch_status(self, rows: DataFrame, ttl_seconds: int = 0, now_ms: int | None = None, order_by: list | None = None) -> DataFrame:
+        """As ``put_batch``; the rows and what became of each. What the log refuses as a whole is WAL_ERROR."""
+        logged = Status.SUCCESS
+        try:
+            self.put_batch(rows, ttl_seconds, now_ms, order_by)
+        except (PySparkException, Py4JError, OSError) as e:
+            self.last_error, logged = e, Status.WAL_ERROR
+        status = F.when(~reads.valid_key() | F.col("value").isNull(), Status.INVALID_INPUT.value)
+        return rows.withColumn("status", status.when(entry_bytes() > self.config.mem_table_max_size_bytes, Status.MEMTABLE_FULL.value).otherwise(logged.value))
+
     def put(self, key: Key | None, value: Key | None, ttl_seconds: int = 0, now_ms: int | None = None) -> bool:
         return self.put_status(key, value, ttl_seconds, now_ms) is Status.SUCCESS
 
@@ -240,6 +262,18 @@ class KVStore:
             F.lit("D").alias("op"), "key", F.lit(None).cast("binary").alias("value"), F.lit(0).cast("bigint").alias("ttl_seconds"), F.lit(self._now(now_ms)).alias("ts_ms")
         ))
 
+    def delete_batch_status(self, keys: DataFrame, now_ms: int | None = None) -> DataFrame:
+        """As ``delete_batch``; the requests and what became of each, by what was readable before. Equal keys are one request."""
+        now = self._now(now_ms)
+        found = reads.contains(self.rows(), keys, now)
+        logged = Status.SUCCESS
+        try:
+            self.delete_batch(keys, now)
+        except (PySparkException, Py4JError, OSError) as e:
+            self.last_error, logged = e, Status.WAL_ERROR
+        status = F.when(~reads.valid_key(), Status.INVALID_INPUT.value).when(F.col("present"), logged.value).otherwise(Status.KEY_NOT_FOUND.value)
+        return found.select(*keys.columns, status.alias("status"))
+
     def _log(self, ops: list[tuple]) -> Status:
         try:
             self.append(self.spark.createDataFrame([(o, bytearray(k), None if v is None else bytearray(v), t, n) for o, k, v, t, n in ops], OPS))

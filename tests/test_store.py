@@ -57,6 +57,24 @@ def test_expiry_is_strict_and_survives_flush_and_compaction(store):
     assert store.get("b", NOW + 5000) is None
 
 
+def test_batches_tell_what_became_of_each_row(spark, tmp_path, monkeypatch):
+    store = KVStore(spark, StoreConfig(data_directory=str(tmp_path / "d"), mem_table_max_size_bytes=40))
+    rows = spark.createDataFrame([(1, b"a", b"1"), (2, b"b", None), (3, None, b"3"), (4, b"", b"4"), (5, b"big", b"x" * 40), (6, b"a", b"2")], "n int, key binary, value binary")
+    told = {r["n"]: r["status"] for r in store.put_batch_status(rows, now_ms=NOW, order_by=["n"]).collect()}
+    assert told == {1: "SUCCESS", 2: "INVALID_INPUT", 3: "INVALID_INPUT", 4: "INVALID_INPUT", 5: "MEMTABLE_FULL", 6: "SUCCESS"} and state(store) == {b"a": b"2"}
+    gone = store.delete_batch_status(keys(spark, b"a", b"a", b"big", None, b""), NOW)
+    assert sorted(r["status"] for r in gone.collect()) == ["INVALID_INPUT", "INVALID_INPUT", "KEY_NOT_FOUND", "SUCCESS", "SUCCESS"] and state(store) == {}
+    assert [(bytes(r["key"]), r["tombstone"]) for r in store.entries("a", "b").collect()] == [(b"a", True)]
+    monkeypatch.setattr(store.log, "append", lambda *a, **k: (_ for _ in ()).throw(OSError("full")))
+    assert {r["status"] for r in store.put_batch_status(rows.where("n = 1")).collect()} == {"WAL_ERROR"} and isinstance(store.last_error, OSError)
+
+
+def test_ingest_takes_rows_of_any_shape(spark, store):
+    rows = spark.createDataFrame([(1, "x", "old"), (2, "x", "new"), (3, None, "lost")], "seq int, key string, value string")
+    assert store.ingest(rows, "concat('k/', key)", F.upper("value"), now_ms=NOW, order_by=["seq"]) == 2
+    assert state(store) == {b"k/x": b"NEW"}
+
+
 def test_ranges_iterator_and_counts(store, spark):
     rows = spark.createDataFrame([(f"key{i}".encode(), f"v{i}".encode()) for i in range(1, 6)], "key binary, value binary")
     assert store.put_batch(rows, now_ms=NOW) == 5

@@ -49,7 +49,7 @@ class Encoder:
     between them is encoded by itself.
     """
 
-    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None, keep: int = 120_000, longest: int = 48):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None, keep: int = 40_000, longest: int = 48):
         import tiktoken
 
         with open(ranks_path, "rb") as f:

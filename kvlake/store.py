@@ -196,7 +196,8 @@ class KVStore:
     def append(self, ops: DataFrame, order_by: list | None = None, stream: tuple[str, int] | None = None) -> int:
         """Logs valid operations (op, key, value, ttl_seconds, ts_ms); how many. ``stream`` (name, batch)
         is logged once, however often it is tried.  An entry larger than ``mem_table_max_size_bytes`` is not
-        taken; once the tail has reached that size it is flushed."""
+        taken; once the tail has reached that size it is flushed, with expired rows as they are: no time is given
+        here, and a read may be as of a time before the clock's."""
         accepted, _ = reads.validate(ops)
         accepted = accepted.where(entry_bytes() <= self.config.mem_table_max_size_bytes)
         if stream and self.manifest.current().streams.get(stream[0], -1) >= stream[1]:
@@ -204,7 +205,7 @@ class KVStore:
         batch = self.log.append(accepted, lambda: self.manifest.current().flushed_seq, order_by, f"{stream[0]}.{stream[1]}" if stream else None)
         if batch and self.is_full():
             try:
-                self.flush()
+                self.flush(keep_expired=True)
             except Conflict:
                 pass  # another writer has flushed
         return batch.last - batch.first + 1 if batch else 0
@@ -284,13 +285,16 @@ class KVStore:
 
     # -- maintenance ---------------------------------------------------------
 
-    def flush(self, now_ms: int | None = None) -> Segment | None:
-        """The log's tail as a level-0 segment, and the commit; its batches go with ``vacuum``.  An empty tail does nothing."""
+    def flush(self, now_ms: int | None = None, keep_expired: bool = False) -> Segment | None:
+        """The log's tail as a level-0 segment, and the commit; its batches go with ``vacuum``.  An empty tail does nothing.
+        Rows that have expired become tombstones, unless ``keep_expired`` leaves them to be judged by reads."""
         v = self.manifest.current()
         tail = self.tail(v)
         if not tail:
             return None
-        rows = merge.as_tombstones(merge.latest(merge.versions(self.log.read(v.flushed_seq, tail))), self._now(now_ms))
+        rows = merge.latest(merge.versions(self.log.read(v.flushed_seq, tail)))
+        if not keep_expired:
+            rows = merge.as_tombstones(rows, self._now(now_ms))
         expected = sum(b.last - b.first + 1 for b in tail)
         made = segments.write(rows, self.root, v.next_segment_id, 0, self._now(now_ms), expected, self.config.rows_per_file, self.config.bloom_error)
         streams = dict(v.streams)

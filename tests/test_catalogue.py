@@ -35,7 +35,7 @@ def test_query_agrees_with_its_sql(spark, duck, name):
 
 
 #: Queries of a store whose batches, at larger tables, reach the size at which it flushes itself.
-FLUSH_THEMSELVES = ["store_crash_recovery", "ttl_cleanup", "store_snapshot_scan", "ttl_after_flush_and_compaction", "entries_with_tombstones", "iterator_ordered"]
+FLUSH_THEMSELVES = ["store_crash_recovery", "ttl_cleanup", "store_snapshot_scan", "ttl_after_flush_and_compaction", "entries_with_tombstones", "iterator_ordered", "store_round_trip"]
 
 
 @pytest.mark.parametrize("name", FLUSH_THEMSELVES)

@@ -445,13 +445,14 @@ _HEX = "CAST(concat('0x', substr(md5(k), {}, 8)) AS BIGINT)"
   SELECT segment_id, count(*) AS probes, CAST(sum(CASE WHEN maybe THEN 1 ELSE 0 END) AS BIGINT) AS false_positives FROM r GROUP BY segment_id""")
 def bloom_fpr(spark, d):
     """Keys that no segment holds, and how many each filter lets through."""
-    own, sized = _bloom(spark, d)
+    # By segment at once: distinct keys, sizes and filters need no further exchange of all rows.
+    keys = with_segment(events_versions(spark, d)).select("segment_id", "key")
+    own = keys.repartition("segment_id").distinct()
+    sized = bloom.sizes(own.groupBy("segment_id").agg(F.count("*").alias("n")))
     filters = bloom.build(own.join(sized, "segment_id"), "segment_id")
-    absent = own.select(F.concat(K.key_column(F.lit("absent-")), "key").alias("key")).distinct()
-    segments = sized.select(F.collect_list(F.struct("segment_id", "bits", "hashes")).alias("s"))  # one row per segment: the manifest
-    listed = absent.select("key", F.explode(F.array(*(F.struct(*(F.lit(r[c]).alias(c) for c in ("segment_id", "bits", "hashes"))) for r in segments.first()["s"]))).alias("s"))
-    found = bloom.might_contain(listed.select("key", "s.*"), filters, "segment_id")
-    return found.groupBy("segment_id").agg(F.count("*").alias("probes"), F.sum(F.col("maybe").cast("bigint")).alias("false_positives"))
+    absent = keys.select(F.concat(K.key_column(F.lit("absent-")), "key").alias("key")).distinct()
+    found = bloom.hits(absent, filters, sized, "segment_id")
+    return found.crossJoin(absent.agg(F.count("key").alias("probes"))).select("segment_id", "probes", F.col("hits").alias("false_positives"))
 
 
 @query("SELECT key, count(*) AS versions, CAST(sum(strlen(key) + 16 + coalesce(strlen(value), 0)) AS BIGINT) AS bytes, max(seq) AS newest FROM log GROUP BY key")

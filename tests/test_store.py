@@ -11,6 +11,7 @@ from kvlake.functions import keys as K
 from kvlake.operators import bloom, merge, reads
 from kvlake.operators.compaction import may_drop_tombstones
 from kvlake.operators.planning import SegmentInfo, SizeTieredPlanner, ThresholdPlanner
+from kvlake.plans import catalogue
 from kvlake.sources.manifest import Conflict, Manifest
 from kvlake.sources.wal import WriteAheadLog
 from kvlake.store import Status
@@ -223,6 +224,37 @@ def test_bloom_contract(spark):
     assert bloom.might_contain(probes, filters, "s").where("maybe").count() < 50
 
 
+def test_bloom_hits_of_every_key_in_every_filter(spark, monkeypatch):
+    """Filters of equal and of other sizes, in several blocks and chunks; a null key, a filter without bits, no keys at all."""
+    monkeypatch.setattr(bloom, "BLOCK_FILTERS", 8)
+    own = spark.range(3000).select((F.col("id") % 30).alias("s"), F.concat(F.lit("k"), F.col("id").cast("string")).cast("binary").alias("key"))
+    own = own.where("s < 20 or key < 'k2'")
+    sized = bloom.sizes(own.groupBy("s").agg(F.count("*").alias("n")), error=0.2).cache()
+    filters = bloom.build(own.join(sized, "s"), "s")
+    sized = sized.union(spark.createDataFrame([(99, 0, 8, 1)], "s bigint, n bigint, bits bigint, hashes bigint"))
+    probes = spark.range(500, 40_000, numPartitions=1).select(F.concat(F.lit("k"), F.col("id").cast("string")).cast("binary").alias("key")).union(keys(spark, None))
+    pairs = bloom.might_contain(probes.crossJoin(sized), filters, "s").groupBy("s").agg(F.sum(F.col("maybe").cast("bigint")).alias("hits"))
+    got = {r["s"]: r["hits"] for r in bloom.hits(probes, filters, sized, "s").collect()}
+    assert got == {r["s"]: r["hits"] for r in pairs.collect()} and len(got) == 31 and got[99] == 0 < got[0] < 39_500
+    assert {r["hits"] for r in bloom.hits(probes.where("false"), filters, sized, "s").collect()} == {0}
+
+
+def test_bloom_fpr_shuffles_no_row_per_key_and_segment(spark):
+    """100 segments and 10,500 absent keys, with no join small enough to be broadcast."""
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    kept, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalogue.QUERIES["bloom_fpr"](spark, "/root/testdata/sf0.1").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(got) == 100 and all(0 < r["false_positives"] < 0.02 * r["probes"] for r in got)
+    assert written() - before < sum(r["probes"] for r in got) / 2
+
+
 def test_point_reads_open_only_segments_whose_filter_holds_the_key(spark, store, monkeypatch):
     for part in range(3):
         store.put_batch(keys(spark, b"a", *(b"%d-%d" % (part, i) for i in range(50)), b"z").withColumn("value", F.col("key")), now_ms=NOW)
